@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bookspark.operators.packed import split_packed
+from bookspark.plans import reference
 from bookspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,5 +18,5 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return split_packed(table(spark, d, "books"), "id", ["authors", "subjects", "bookshelves"])
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Query] = {"p1_found": p1_found} | reference.QUERIES
+ORACLE: dict[str, str] = dict(reference.ORACLE)
