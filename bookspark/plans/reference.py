@@ -356,3 +356,55 @@ def porter_search(s: SparkSession, d: str) -> DataFrame:
 @query("with " + _TOKENS + " select u as term, count(*) as df from (select id, unnest(list_distinct(t)) as u from tok) group by 1")
 def index_vocabulary(s: SparkSession, d: str) -> DataFrame:
     return T.build_index(table(s, d, "chunks")).postings.groupBy("term").agg(F.count("*").alias("df"))
+
+
+# ---- pages, ingest, answers
+@query()
+def html_chunks(s: SparkSession, d: str) -> DataFrame:
+    from bookspark.html.chunker import chunk_books
+
+    pages = table(s, d, "texts").where(F.lower("content").contains("<html"))
+    return chunk_books(pages, "book_id", "content")
+
+
+@query("select b.id, case when coalesce(t.chunker_version, case when t.book_id is null then null else 1 end) = 3 then 'skip' when t.book_id is not null then 'reprocess' else 'add' end as action from books b left join texts t on t.book_id = b.id")
+def ingest_plan(s: SparkSession, d: str) -> DataFrame:
+    from bookspark.operators.ingest import plan_ingest
+
+    return plan_ingest(table(s, d, "books"), table(s, d, "texts"), version=VERSION)
+
+
+@query("select id, s.source, s.priority, s.before || id::varchar || s.after as url from books, (values ('mirror', 1, 'https://mirror.example/', '.html'), ('zip', 2, 'https://main.example/', '-h.zip')) s(source, priority, before, after)")
+def page_candidates(s: SparkSession, d: str) -> DataFrame:
+    from bookspark.sources.pages import Source, candidates
+
+    return candidates(table(s, d, "books"), [Source("mirror", "https://mirror.example/{id}.html", 1), Source("zip", "https://main.example/{id}-h.zip", 2)])
+
+
+@query()
+def book_payloads(s: SparkSession, d: str) -> DataFrame:
+    from bookspark.plans.payload import book_payloads as payloads
+
+    return payloads(table(s, d, "books"))
+
+
+@query()
+def section_payloads(s: SparkSession, d: str) -> DataFrame:
+    from bookspark.plans.payload import section_payloads as payloads
+
+    return payloads(S.section_rows(table(s, d, "chunks")))
+
+
+@query("select id, case when length(replace(replace(content, E'\\r\\n', ' '), E'\\n', ' ')) > 60 then rtrim(left(replace(replace(content, E'\\r\\n', ' '), E'\\n', ' '), 60), ' ') || '…' else replace(replace(content, E'\\r\\n', ' '), E'\\n', ' ') end as shown from chunks")
+def previews(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "chunks").select("id", X.preview("content", 60).alias("shown"))
+
+
+@query()
+def title_like_headings(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "chunks").select("id", X.title_like("content").alias("title_like"))
+
+
+@query("select count(*) as records, cast(received_at as date) as day from catalog_feed where received_at is not null group by 2")
+def feed_by_day(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "catalog_feed").where("received_at is not null").groupBy(F.to_date("received_at").alias("day")).agg(F.count("*").alias("records"))
