@@ -169,7 +169,12 @@ def _refined(d: Document, toc: list[Section], heads: list[Section]) -> list[Sect
     have = {s.at for s in toc}
     ranks = Counter(s.rank for s in toc)
     low = max(ranks) if ranks else 6
-    extra = [h for h in heads if h.at not in have and h.at > toc[0].at and (H.keyword(h.text) and h.rank <= low + 1)]
+    subtitles = set()
+    for s in toc:
+        after = next((h for h in heads if h.at > s.end), None) if H.bare(s.text) else None
+        if after and after.at not in have and not d.between(s.end, after.at):
+            subtitles.add(after.at)
+    extra = [h for h in heads if h.at not in have and h.at > toc[0].at and (H.keyword(h.text) and h.rank <= low + 1 or h.at in subtitles)]
     return sorted([*toc, *extra], key=lambda s: s.at)
 
 

@@ -62,7 +62,7 @@ def build_index(chunks: DataFrame, stemmed: bool = False) -> Index:
 
 
 def _starts(p: Phrase, places: Column) -> Column:
-    """Where the phrase begins, each place once, whether or not it must be the first."""
+    """Where the phrase begins, each place once; only the first place of the text if it must be initial."""
     if not p.words:
         return F.array().cast("array<int>")
 
@@ -77,12 +77,12 @@ def _starts(p: Phrase, places: Column) -> Column:
     out = of(0)
     for i in range(1, len(p.words)):
         out = F.array_intersect(out, back(of(i), i))
-    return out
+    return F.filter(out, lambda x: x == 0) if p.initial else out
 
 
 def _columns(tree, starts: dict[Phrase, str], counted: dict[int, Column]) -> Column:
     """Whether the tree holds, and into `counted` by place of phrase how often each phrase occurs as the tree allows."""
-    here = lambda p: F.filter(F.col(starts[p]), lambda x: x == 0) if p.initial else F.col(starts[p])
+    here = lambda p: F.col(starts[p])
     if isinstance(tree, Phrase):
         counted[len(counted)] = F.size(here(tree))
         return F.size(here(tree)) > 0
@@ -109,9 +109,15 @@ def _columns(tree, starts: dict[Phrase, str], counted: dict[int, Column]) -> Col
             counted[len(counted)] = F.size(inside)
             hit = hit | (F.size(inside) > 0)
         return hit
+    first = len(counted)
     left = _columns(tree.left, starts, counted)
     right = _columns(tree.right, starts, counted)
-    return left & right if tree.name == "AND" else left | right if tree.name == "OR" else left & ~right
+    if tree.name == "OR":
+        return left | right
+    holds = left & right if tree.name == "AND" else left & ~right
+    for i in range(first, len(counted)):  # phrases of a part that doesn't hold don't count, though another part may
+        counted[i] = F.when(holds, counted[i]).otherwise(0)
+    return holds
 
 
 def _any(tests: list[Column]) -> Column:

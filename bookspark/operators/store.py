@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from bookspark.functions.text import normal_segment
@@ -130,7 +132,14 @@ class Store:
 
     def read(self, table: str) -> DataFrame | None:
         v = self._version()
-        return self.spark.read.parquet(f"{self.root}/{v}/{table}").drop("bucket") if v else None
+        if not v:
+            return None
+        # the schema is kept beside the files: a table without rows has no files
+        schema = T.StructType.fromJson(json.loads(self.spark.read.text(f"{self.root}/{v}/{table}.schema", wholetext=True).first()[0]))
+        fs, path = self._fs()
+        if not fs.exists(path(f"{self.root}/{v}/{table}")):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.root}/{v}/{table}").drop("bucket")
 
     def write(self, **tables: DataFrame) -> None:
         """Replaces whole tables; those not given are kept."""
@@ -144,6 +153,10 @@ class Store:
                 continue
             bucket = F.pmod(F.xxhash64(key), F.lit(self.BUCKETS)).cast("int")
             df.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions(key, *(["position"] if name == "chunks" else [])).write.partitionBy("bucket").parquet(f"{self.root}/{version}/{name}")
+            fs, path = self._fs()
+            note = fs.create(path(f"{self.root}/{version}/{name}.schema"))
+            note.write(bytearray(df.schema.json().encode()))
+            note.close()
         fs, path = self._fs()
         fs.create(path(f"{self.root}/{version}.current")).close()
 

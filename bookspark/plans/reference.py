@@ -264,10 +264,11 @@ def read_time(s: SparkSession, d: str) -> DataFrame:
 _TOKENS = r"tok as (select book_id, position, id, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(content, ''))), '[^\p{L}\p{N}\p{Co}]+'), lambda x: x <> '') as t from chunks), st as (select count(*) as n, avg(len(t)) as m from tok)"
 
 
-def _leaf(words: str, initial: bool = False) -> str:
-    """SQL of the places where the words stand in a row; a star ends a prefix."""
+def _leaf(words: str) -> str:
+    """SQL of the places where the words stand in a row; a star ends a prefix, a caret allows only the first place."""
+    last, words = "least(len(t) + 1, 2)" if words[0] == "^" else "len(t) + 1", words.lstrip("^")
     tests = [f"starts_with(t[i + {k}], '{w[:-1]}')" if w.endswith("*") else f"t[i + {k}] = '{w}'" for k, w in enumerate(words.split())]
-    return f"list_filter(range(1, len(t) + 1), lambda i: {' and '.join(tests)})"
+    return f"list_filter(range(1, {last}), lambda i: {' and '.join(tests)})"
 
 
 def _search_sql(leaves: list[str], where: str, tfs: list[str] | None = None, tail: str = "") -> str:
@@ -294,7 +295,7 @@ _search("search_or", "harbour OR lantern", "raw", _search_sql(["harbour", "lante
 _search("search_not", "harbour NOT dark", "raw", _search_sql(["harbour", "dark"], "len(p0) > 0 and len(p1) = 0"))
 _search("search_prefix", "lant*", "raw", _search_sql(["lant*"], "len(p0) > 0"))
 _search("search_group", "(harbour OR lantern) AND dark", "raw", _search_sql(["harbour", "lantern", "dark"], "(len(p0) > 0 or len(p1) > 0) and len(p2) > 0"))
-_search("search_initial", "^nobody", "raw", _search_sql(["nobody"], "list_contains(p0, 1)", ["len(list_filter(p0, lambda x: x = 1))"]))
+_search("search_initial", "^nobody", "raw", _search_sql(["^nobody"], "len(p0) > 0"))
 _near = lambda a, b: f"list_filter({a}, lambda x: len(list_filter({b}, lambda y: abs(x - y) - 1 <= 5)) > 0)"
 _search("search_near", "NEAR(dark harbour, 5)", "raw", _search_sql(["dark", "harbour"], f"len({_near('p0', 'p1')}) > 0", [f"len({_near('p0', 'p1')})", f"len({_near('p1', 'p0')})"]))
 
@@ -405,6 +406,6 @@ def title_like_headings(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunks").select("id", X.title_like("content").alias("title_like"))
 
 
-@query("select count(*) as records, cast(received_at as date) as day from catalog_feed where received_at is not null group by 2")
+@query("select count(*) as records, strftime(received_at, '%Y-%m-%d') as day from catalog_feed where received_at is not null group by 2")
 def feed_by_day(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "catalog_feed").where("received_at is not null").groupBy(F.to_date("received_at").alias("day")).agg(F.count("*").alias("records"))
+    return table(s, d, "catalog_feed").where("received_at is not null").groupBy(F.date_format("received_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("records"))
