@@ -1,7 +1,7 @@
 """Variant spellings of names: which mean the same person or body.
 
-Names become vectors of character n-grams of their words, weighted by rarity, and of their life dates; a lossless
-sparse join finds all pairs above a cosine threshold. A pair counts if the two names can be read as one name (typos,
+Names become vectors of character n-grams of their telling words (a person's surname, all words of a body), weighted by
+rarity; a lossless sparse join finds all pairs above a cosine threshold, as many partners as there are. A pair counts if the two names can be read as one name (typos,
 initials, nicknames, other order, missing parts), and not if life dates or given names contradict. Average linkage
 over these pairs makes the groups: a name that fits two persons goes to the nearer one and doesn't join the two.
 """
@@ -22,7 +22,7 @@ from bookspark.operators.durable import cut
 from bookspark.operators.layout import spread
 from bookspark.operators.packed import split_packed
 
-COSINE, LINKAGE = 0.3, 0.5
+COSINE, LINKAGE = 0.33, 0.5
 # Familiar forms of given names, forms of address, words of bodies and their abbreviations.
 NICKNAMES = {
     "archie": "archibald", "gus": "augustus", "bert": "albert", "al": "albert", "alex": "alexander", "alec": "alexander", "sandy": "alexander", "annie": "anne", "nan": "anne", "nancy": "anne",
@@ -197,6 +197,14 @@ def grams(text: str) -> list[str]:
     return sorted(out | {f"b{n.birth}", f"d{n.death}"} - {"b", "d"} | ({f"{w}" for w in words if len(w) <= 2} if not out else set()))
 
 
+def leading_grams(text: str) -> list[str]:
+    """Character n-grams of the words that tell names apart: a body's words, a person's surname in each reading."""
+    n = name(text)
+    words = set(n.words) if n.body else {w for s, _ in n.readings for w in s.split()}
+    out = {p[i : i + 4] for w in words if len(w) > 2 for p in [f"#{w}#"] for i in range(len(p) - 3)}
+    return sorted(out | {w for w in words if len(w) <= 2})
+
+
 def _score(a: str, b: str) -> float:
     if not same(a, b):
         return 0.0
@@ -212,7 +220,7 @@ def link_names(names: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "grams": [grams(x) for x in b["name"]]})
+            yield pd.DataFrame({"id": b["id"], "grams": [leading_grams(x) for x in b["name"]]})
 
     # two 64-bit hashes could meet; names are numbered instead, in their order
     distinct = names.select("name").where(F.col("name").isNotNull() & (F.trim("name") != "")).distinct()
