@@ -28,7 +28,7 @@ from bookspark.operators.durable import cut
 from bookspark.operators.layout import spread
 from bookspark.operators.packed import split_packed
 
-COSINE, LINKAGE, TOLERANCE, ROUNDS = 0.25, 0.5, 1e-3, 10
+COSINE, LINKAGE, TOLERANCE, ROUNDS = 0.33, 0.5, 1e-3, 10
 FIELDS = ["title", "authors", "language", "subjects", "locc", "bookshelves", "issued", "type"]
 # Names of months, roman numerals of volumes.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -111,9 +111,11 @@ def _title_grams(title: str | None) -> list[str]:
 def _score(title_a: str, author_a: str, title_b: str, author_b: str) -> float:
     if not same_title(title_a, title_b):
         return 0.0
+    # a volume that is cut off, and an author that is missing, are weaker ties than known ones
+    sure = 1.0 if title_parts(title_a)[1] == title_parts(title_b)[1] else 0.6
     if not author_a or not author_b:
-        return 0.75
-    return 1.0 if same(author_a, author_b) else 0.0
+        return 0.75 * sure + 0.05
+    return sure if same(author_a, author_b) else 0.0
 
 
 def _truth(claims: DataFrame) -> DataFrame:
