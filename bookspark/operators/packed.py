@@ -156,7 +156,7 @@ def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     raw = raw.where(F.col("raw").isNotNull() & (F.trim("raw") != "")).select("key", F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("at") + 1).alias("field"), "raw")
 
     # each different text is parsed once, however often it occurs
-    texts = raw.groupBy("field", "raw").agg(F.count("*").alias("n")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "field", "raw")
+    texts = raw.groupBy("field", "raw").agg(F.count("*").alias("n")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def counts(code: dict[str, Code] | None) -> dict[str, Code]:
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
