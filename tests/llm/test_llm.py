@@ -231,6 +231,15 @@ def test_clean_records(spark):
     assert markup.clean_records(df.limit(0).drop("clean"), "id", "text").count() == 0
 
 
+def test_marked_records_need_no_path_scores(spark, monkeypatch):
+    rows = [(1, "a <i>b</i>"), (2, "## Head"), (3, None), (4, ""), (5, "plain * * * text"), (6, "<style>x</style>"), (6, "x &amp; y")]
+    texts = spark.createDataFrame(rows, "book_id bigint, content string")
+    chunks = texts.withColumnRenamed("book_id", "id")
+    monkeypatch.setattr(markup, "clean_records", None)
+    got = sorted(tuple(r) for r in markup.marked_records(texts, chunks).collect())
+    assert got == sorted((t, i) for t in ("texts", "chunks") for i in (1, 2, 6, 6))
+
+
 # ---- p8
 def test_reading_levels(spark):
     random.seed(9)
