@@ -6,9 +6,10 @@ two-part code: the dialect, then each value. A value is coded either by its numb
 The shares are counted over the whole table, first of a plain parse, then of the cheapest parses; each field is at last
 parsed by its own cheapest dialect.
 
-Only two small tables leave the executors: forms (a bounded set, see `form`) and values that make up at least
-1 / 2**DICTIONARY_BITS of all values of their column, at most 2**DICTIONARY_BITS per column whatever the size of the
-data. Rarer values would cost more bits there than they could save. Every row is parsed; nothing is joined or sorted.
+Every value that occurs twice is in the dictionary. Only two small tables leave the executors: forms (a bounded set, see
+`form`) and values that make up at least 1 / 2**DICTIONARY_BITS of all values of their column, at most 2**DICTIONARY_BITS
+per column whatever the size of the data. The counts of rarer values stay a distributed table, which is joined to the
+values of all parses of each different text, so the bound decides how a count travels and not what a value costs.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bookspark.operators.durable import cut
 from bookspark.operators.layout import spread
 
-#: A value that is rarer than one in 2**15 isn't kept in the dictionary.
+#: The count of a value that is rarer than one in 2**15 is joined, not broadcast.
 DICTIONARY_BITS = 15
 ROUNDS = 2
 #: Delimiters that seldom occur within values, and those that often do.
@@ -127,23 +129,38 @@ class Code:
     """Lengths of values in bits, from counts of values and of forms."""
 
     def __init__(self, values: dict[str, int], forms: dict[str, int], total: int):
-        self.values = {v: -math.log2(n / total) for v, n in values.items()}
+        self.values, self.total = {v: -math.log2(n / total) for v, n in values.items()}, total
         every = sum(forms.values()) + len(forms) + 1
         self.forms, self.rare = {f: -math.log2(n / every) for f, n in forms.items()}, math.log2(every)
 
-    def value(self, v: str) -> float:
+    def value(self, v: str, rare: dict[str, int]) -> float:
         spelt = self.forms.get(form(v), self.rare + 4) + LETTER * len(v) + 2 + sum(STRAY.get(c, 0) for c in v)
-        return min(self.values.get(v, 1e9) + 1, spelt) + END
+        named = self.values.get(v) or (-math.log2(rare[v] / self.total) if v in rare else 1e9)
+        return min(named + 1, spelt) + END
 
-    def best(self, raw: str) -> list[str]:
+    def best(self, raw: str, rare: dict[str, int]) -> list[str]:
+        """The values of the cheapest parse; `rare` has the counts of values of `raw` that aren't in `values`."""
         least, out = 1e18, []
         for names, quotes in dialects(raw):
             items = parse(raw, (names, quotes))
-            cost = NAMED * len(names) + LOOSE * (names[:1] != () and names[0] in WEAK) + NAMED * bool(quotes) + sum(self.value(v) for v in items)
+            cost = NAMED * len(names) + LOOSE * (names[:1] != () and names[0] in WEAK) + NAMED * bool(quotes) + sum(self.value(v, rare) for v in items)
             if cost < least - 1e-9:
                 least, out = cost, items
         return out
 
+    def unknown(self, raw: str) -> set[str]:
+        """The values of all parses of `raw` that aren't in `values`; none if there is only one parse."""
+        of = dialects(raw)
+        return {v for d in of for v in parse(raw, d) if v not in self.values} if len(of) > 1 else set()
+
+
+def _tuples(items, counts) -> tuple[tuple[str, ...], tuple[int, ...]]:
+    return ((), ()) if items is None else (tuple(items), tuple(counts))
+
+
+def _counts(items, counts) -> dict[str, int]:
+    return {} if items is None else dict(zip(items, counts))
+
 
 def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """One row (`key`, field, pos, item) for each value in each of `fields`; `pos` counts from 1 in each field.
@@ -157,42 +174,61 @@ def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
     # each different text is parsed once, however often it occurs
     texts = raw.groupBy("field", "raw").agg(F.count("*").alias("n")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    nothing = [F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<bigint>").alias("counts")]
+
+    def known(code: dict[str, Code], rare: DataFrame | None) -> DataFrame | None:
+        """(field, raw, items, counts) of the texts that have rare values in some parse."""
+        if rare is None:
+            return None
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame([(i, f, v) for i, f, t in zip(b["id"], b["field"], b["raw"]) for v in code[f].unknown(t)], columns=["id", "field", "item"])
+
+        numbered = cut(texts.select(F.monotonically_increasing_id().alias("id"), "field", "raw"))
+        met = numbered.mapInPandas(each, "id bigint, field string, item string").join(rare, ["field", "item"])
+        met = met.groupBy("id").agg(F.collect_list(F.struct("item", "n")).alias("met"))
+        return numbered.join(met, "id").select("field", "raw", F.col("met.item").alias("items"), F.col("met.n").alias("counts"))
+
+    def with_known(df: DataFrame, known: DataFrame | None) -> DataFrame:
+        return df.select("*", *nothing) if known is None else df.join(known, ["field", "raw"], "left")
 
-    def counts(code: dict[str, Code] | None) -> dict[str, Code]:
+    def counts(code: dict[str, Code] | None, rare: DataFrame | None) -> tuple[dict[str, Code], DataFrame | None]:
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 seen: Counter = Counter()
-                for field, text, n in zip(b["field"], b["raw"], b["n"]):
-                    for v in code[field].best(text) if code and field in code else _plain(text):
+                for field, text, n, vs, ns in zip(b["field"], b["raw"], b["n"], b["items"], b["counts"]):
+                    for v in code[field].best(text, _counts(vs, ns)) if code and field in code else _plain(text):
                         seen[field, v] += n
                 yield pd.DataFrame([(f, v, form(v), n) for (f, v), n in seen.items()], columns=["field", "item", "form", "n"])
 
-        items = texts.mapInPandas(each, "field string, item string, form string, n bigint").groupBy("field", "item", "form").agg(F.sum("n").alias("n"))
-        items = items.persist()
-        try:
-            totals = {r["field"]: r["n"] for r in items.groupBy("field").agg(F.sum("n").alias("n")).collect()}
-            forms: dict[str, dict[str, int]] = {f: {} for f in totals}
-            for r in items.groupBy("field", "form").agg(F.sum("n").alias("n")).where("n > 1").collect():
-                forms[r["field"]][r["form"]] = r["n"]
-            values: dict[str, dict[str, int]] = {f: {} for f in totals}
-            least = F.coalesce(*[F.when(F.col("field") == f, F.lit(max(2, n >> DICTIONARY_BITS))) for f, n in totals.items()], F.lit(2)) if totals else F.lit(2)
-            for r in items.where(F.col("n") >= least).collect():
-                values[r["field"]][r["item"]] = r["n"]
-        finally:
-            items.unpersist()
-        return {f: Code(values[f], forms[f], n) for f, n in totals.items()}
+        parsed = with_known(texts, known(code, rare) if code else None).select("field", "raw", "n", "items", "counts")
+        items = cut(parsed.mapInPandas(each, "field string, item string, form string, n bigint").groupBy("field", "item", "form").agg(F.sum("n").alias("n")))
+        totals = {r["field"]: r["n"] for r in items.groupBy("field").agg(F.sum("n").alias("n")).collect()}
+        forms: dict[str, dict[str, int]] = {f: {} for f in totals}
+        for r in items.groupBy("field", "form").agg(F.sum("n").alias("n")).where("n > 1").collect():
+            forms[r["field"]][r["form"]] = r["n"]
+        values: dict[str, dict[str, int]] = {f: {} for f in totals}
+        bounds = {f: max(2, n >> DICTIONARY_BITS) for f, n in totals.items()}
+        least = F.coalesce(*[F.when(F.col("field") == f, F.lit(n)) for f, n in bounds.items()], F.lit(2))
+        for r in items.where(F.col("n") >= least).collect():
+            values[r["field"]][r["item"]] = r["n"]
+        # below the bound and seen twice: only in tables so large that the bound is above two
+        rest = items.where((F.col("n") > 1) & (F.col("n") < least)).select("field", "item", "n") if max(bounds.values(), default=2) > 2 else None
+        return {f: Code(values[f], forms[f], n) for f, n in totals.items()}, rest
 
     code: dict[str, Code] | None = None
+    rare: DataFrame | None = None
     for _ in range(ROUNDS):
-        code = counts(code)
+        code, rare = counts(code, rare)
     sent = spark.sparkContext.broadcast(code)
 
     def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = lru_cache(20_000)(lambda field, text: sent.value[field].best(text))
+        best = lru_cache(20_000)(lambda field, text, vs, ns: sent.value[field].best(text, dict(zip(vs, ns))))
         for b in batches:
-            yield pd.DataFrame(
-                [(k, f, i, v) for k, f, t in zip(b["key"], b["field"], b["raw"]) for i, v in enumerate(best(f, t), 1)], columns=[key, "field", "pos", "item"]
-            )
+            found = ((k, f, best(f, t, *_tuples(vs, ns))) for k, f, t, vs, ns in zip(b["key"], b["field"], b["raw"], b["items"], b["counts"]))
+            yield pd.DataFrame([(k, f, i, v) for k, f, vs in found for i, v in enumerate(vs, 1)], columns=[key, "field", "pos", "item"])
 
+    last = with_known(raw, known(code, rare)).select("key", "field", "raw", "items", "counts")
     kind = df.schema[key].dataType.simpleString()
-    return spread(raw).mapInPandas(final, f"`{key}` {kind}, field string, pos int, item string")
+    return spread(last).mapInPandas(final, f"`{key}` {kind}, field string, pos int, item string")

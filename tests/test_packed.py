@@ -1,5 +1,6 @@
 import pytest
 
+from bookspark.operators import packed
 from bookspark.operators.packed import parse, split_packed
 
 SEEN = [(i, "Sea Stories; Lost Voyages; Harbour Life", "Night, Anne, 1801-1860; Reed, Carl, 1799-1850 [Editor]") for i in range(30)] + [(100 + i, '"Songs; Old and New"', "Hill, Ada, 1840-1900") for i in range(10)]
@@ -49,3 +50,13 @@ def test_brackets_hide_delimiters():
 
 def test_very_long_field(spark):
     assert len(items(spark, "; ".join(f"Shelf {i} of many" for i in range(3000)))) == 3000
+
+
+def test_the_bound_of_the_dictionary_changes_no_result(spark, monkeypatch):
+    law = "Harbour Life and Sea Stories"
+    rows = [(i, f"Sea Stories; Harbour Life; Shelf {i} of many") for i in range(100)] + [(900 + i, f"{law}; Sea Stories") for i in range(20)] + [(950, law), (951, f"Sea Stories | {law}")]
+    df = spark.createDataFrame(rows, "id bigint, shelves string")
+    want = sorted(tuple(r) for r in split_packed(df, "id", ["shelves"]).collect())
+    assert (950, "shelves", 1, law) in want and (951, "shelves", 2, law) in want
+    monkeypatch.setattr(packed, "DICTIONARY_BITS", 3)
+    assert sorted(tuple(r) for r in split_packed(df, "id", ["shelves"]).collect()) == want
