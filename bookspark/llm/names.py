@@ -1,13 +1,16 @@
 """Variant spellings of names: which mean the same person or body.
 
-Names become vectors of character n-grams of their telling words (a person's surname, all words of a body), weighted by
-rarity; a lossless sparse join finds all pairs above a cosine threshold, as many partners as there are. A pair counts if the two names can be read as one name (typos,
+Names of bodies become vectors of character n-grams of their words, weighted by rarity; a lossless sparse join finds all
+pairs above a cosine threshold, as many partners as there are. Persons are compared if their surnames are alike in some
+reading: the different surnames are joined on what is left of them when some letters are left out, which loses no pair
+within the edits that `same` allows, then the names on these pairs. A pair counts if the two names can be read as one name (typos,
 initials, nicknames, other order, missing parts), and not if life dates or given names contradict. Average linkage
 over these pairs makes the groups: a name that fits two persons goes to the nearer one and doesn't join the two.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -82,6 +85,11 @@ def _slack(a: str, b: str) -> int:
     return 0 if n < 4 else 1 if n < 8 else 2
 
 
+def _scanned(w: str) -> str:
+    """The word with signs that scanning mistakes for one another made one."""
+    return re.sub("rn", "m", re.sub("li|ii|lı", "h", w)).replace("1", "l").replace("0", "o").replace("vv", "w").replace("cl", "d")
+
+
 def _alike(a: str, b: str) -> bool:
     """Whether two words may be one, but for a typo or a sign misread by scanning."""
     if a == b:
@@ -89,10 +97,26 @@ def _alike(a: str, b: str) -> bool:
     k = _slack(a, b)
     if k and distance(a, b, k) <= k:
         return True
-    scanned = [re.sub("rn", "m", re.sub("li|ii|lı", "h", x)).replace("1", "l").replace("0", "o").replace("vv", "w").replace("cl", "d") for x in (a, b)]
+    scanned = [_scanned(a), _scanned(b)]
     return scanned != [a, b] and k > 0 and distance(*scanned, 1) <= (0 if k == 1 else 1)
 
 
+def deletions(w: str, most: int, head: int = 12) -> set[str]:
+    """The first `head` letters of the word without up to `most` of them, whichever they are.
+
+    Two words within `most` edits have one in common, whatever their lengths: a change or a swap leaves one letter out of
+    both, and an insertion moves one letter over the end of the head.
+    """
+    h = w[:head]
+    return {"".join(c for i, c in enumerate(h) if i not in out) for k in range(min(most, len(h)) + 1) for out in itertools.combinations(range(len(h)), k)}
+
+
+def alike_keys(w: str) -> set[str]:
+    """Keys of which any two words that `_alike` accepts have one in common."""
+    k = _slack(w, w)
+    return deletions(w, k) | (deletions(_scanned(w), 1) if k else set())
+
+
 def _unshortened(w: str) -> str:
     """The only word of bodies of which `w` has some letters in their order, the first among them; else `w`."""
     if w in ADDRESS:
@@ -197,10 +221,9 @@ def grams(text: str) -> list[str]:
     return sorted(out | {f"b{n.birth}", f"d{n.death}"} - {"b", "d"} | ({f"{w}" for w in words if len(w) <= 2} if not out else set()))
 
 
-def leading_grams(text: str) -> list[str]:
-    """Character n-grams of the words that tell names apart: a body's words, a person's surname in each reading."""
-    n = name(text)
-    words = set(n.words) if n.body else {w for s, _ in n.readings for w in s.split()}
+def body_grams(text: str) -> list[str]:
+    """Character n-grams of a body's words; none of a person."""
+    words = set(name(text).words)
     out = {p[i : i + 4] for w in words if len(w) > 2 for p in [f"#{w}#"] for i in range(len(p) - 3)}
     return sorted(out | {w for w in words if len(w) <= 2})
 
@@ -212,6 +235,39 @@ def _score(a: str, b: str) -> float:
     return 0.6 + 0.4 * len(g & h) / max(1.0, (len(g) * len(h)) ** 0.5)
 
 
+def _surnames(text: str) -> list[tuple[str, str, str]]:
+    """(surname, birth, death) of each reading of a person's name."""
+    n = name(text)
+    return [(s, n.birth, n.death) for s in sorted({s for s, _ in n.readings})]
+
+
+def person_candidates(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b, of all names of persons in `rows` (id, name) with surnames alike in some reading and life dates that don't contradict."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(i, *r) for i, n in zip(b["id"], b["name"]) for r in _surnames(n)]
+            yield pd.DataFrame(found, columns=["id", "surname", "birth", "death"])
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(s, k) for s in b["surname"] for k in alike_keys(s)], columns=["surname", "k"])
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[_alike(s, t) for s, t in zip(b["s"], b["t"])]]
+
+    readings = cut(spread(rows).mapInPandas(read, "id bigint, surname string, birth string, death string"))
+    surnames = cut(readings.select("surname").distinct())
+    keyed = cut(spread(surnames).mapInPandas(keys, "surname string, k string"))
+    met = keyed.select(F.col("surname").alias("s"), "k").join(keyed.select(F.col("surname").alias("t"), "k"), "k").where("s < t").select("s", "t").distinct()
+    alike = cut(spread(met).mapInPandas(near, "s string, t string"))
+    alike = alike.union(alike.select("t", "s")).union(surnames.select("surname", "surname")).toDF("s", "t")
+    x, y = (readings.select(F.col("id").alias(i), F.col("surname").alias(c), F.col("birth").alias(f"birth_{i}"), F.col("death").alias(f"death_{i}")) for i, c in (("a", "s"), ("b", "t")))
+    fits = [(F.col(f"{d}_a") == "") | (F.col(f"{d}_b") == "") | (F.col(f"{d}_a") == F.col(f"{d}_b")) for d in ("birth", "death")]
+    return x.join(alike, "s").join(y, "t").where((F.col("a") < F.col("b")) & fits[0] & fits[1]).select("a", "b").distinct()
+
+
 def link_names(names: DataFrame) -> DataFrame:
     """(name, cluster, id) of the different non-blank values of the column `name`; `cluster` is the smallest id of the group.
 
@@ -220,13 +276,14 @@ def link_names(names: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "grams": [leading_grams(x) for x in b["name"]]})
+            yield pd.DataFrame({"id": b["id"], "grams": [body_grams(x) for x in b["name"]]})
 
     # two 64-bit hashes could meet; names are numbered instead, in their order
     distinct = names.select("name").where(F.col("name").isNotNull() & (F.trim("name") != "")).distinct()
     rows = cut(distinct.select(F.monotonically_increasing_id().alias("id"), "name"))
-    vectors = cut(spread(rows).mapInPandas(each, "id bigint, grams array<string>"))
-    pairs = checked(cosine_candidates(vectors, COSINE), rows.select("id", "name"), _score)
+    vectors = cut(spread(rows).mapInPandas(each, "id bigint, grams array<string>").where(F.size("grams") > 0))
+    candidates = cosine_candidates(vectors, COSINE).union(person_candidates(rows))  # no name is both
+    pairs = checked(candidates, rows.select("id", "name"), _score)
     return average_linkage(rows.select("id"), pairs, LINKAGE).join(rows, "id").select("name", "cluster", "id")
 
 

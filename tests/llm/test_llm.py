@@ -141,6 +141,32 @@ def test_linked_names(spark):
     assert sorted(map(len, got.values())) == [1, 1, 3] and names.link_names(df.limit(0)).count() == 0
 
 
+def test_person_candidates_lose_nothing(spark):
+    random.seed(4)
+    letters = "abcdelinorstwv"
+    surnames = ["read", "brown", "cole", "nightwood", "clarn", "lee", "van der hollestraaten", "ord"]
+    spoilt = set(surnames)
+    for w in surnames * 12:
+        for _ in range(random.randint(1, 2)):
+            i = random.randrange(len(w))
+            w = random.choice([w[:i] + w[i + 1 :], w[:i] + random.choice(letters) + w[i:], w[:i] + random.choice(letters) + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :], w.replace("m", "rn"), w.replace("h", "li")])
+        spoilt.add(w)
+    given = ["Charles", "C.", "Charlie"]
+    found = sorted({f(w.title(), random.choice(given)) for w in spoilt if w for f in (lambda s, g: f"{s}, {g}, 1814-1884", lambda s, g: f"{g} {s}")})
+    found += ["Read, Charles, 1814-1884", "Reed, Charles, 1814-1884", "Brown, John", "Borwn, John"]
+    rows = list(enumerate(dict.fromkeys(found)))
+    want = {(i, j) for i, x in rows for j, y in rows if i < j and names.same(x, y)}
+    got = {tuple(r) for r in names.person_candidates(spark.createDataFrame(rows, "id bigint, name string")).collect()}
+    assert len(want) > 300 and want <= got
+
+
+def test_short_surnames_with_a_wrong_letter_are_linked(spark):
+    pairs = [("Read, Charles, 1814-1884", "Reed, Charles, 1814-1884"), ("Brown, John", "Borwn, John"), ("Salt Guild of Oru", "Oru. Guild of Salt")]
+    df = spark.createDataFrame([(x,) for p in pairs for x in p], "name string")
+    cluster = {r.name: r.cluster for r in names.link_names(df).collect()}
+    assert all(cluster[a] == cluster[b] for a, b in pairs) and len(set(cluster.values())) == 3
+
+
 def test_average_linkage_by_brute_force(spark):
     random.seed(5)
     for _ in range(2):
