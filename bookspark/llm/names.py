@@ -210,7 +210,8 @@ def same(a: str, b: str) -> bool:
     dated = bool(x.birth and x.birth == y.birth and (x.death == y.death or not (x.death and y.death)))
     if x.junior != y.junior and not dated:
         return False
-    return any(_alike(s, t) and _givens(g, h) for s, g in x.readings for t, h in y.readings)
+    # names of one word are the same only if the word is
+    return any(_alike(s, t) and _givens(g, h) if g or h else s == t for s, g in x.readings for t, h in y.readings)
 
 
 def grams(text: str) -> list[str]:

@@ -115,7 +115,7 @@ def _score(title_a: str, author_a: str, title_b: str, author_b: str) -> float:
     sure = 1.0 if title_parts(title_a)[1] == title_parts(title_b)[1] else 0.6
     if not author_a or not author_b:
         return 0.75 * sure + 0.05
-    return sure if same(author_a, author_b) else 0.0
+    return sure if author_a == author_b or same(author_a, author_b) else 0.0
 
 
 def _truth(claims: DataFrame) -> DataFrame:

@@ -132,6 +132,16 @@ def test_names():
     assert [p for p in no if names.same(*p)] == []
 
 
+def test_names_of_one_word(spark):
+    yes = [("Homer", "Homer"), ("Voltaire", "VOLTAIRE, 1694-1778"), ("Anonymous", "anonymous")]
+    no = [("Homer", "Homer, Winslow"), ("Voltaire", "Voltiare"), ("Ida, 1801-1860", "Ida, 1840-1899"), ("Homer", "Virgil")]
+    assert [p for p in yes if not names.same(*p)] == [] and [p for p in no if names.same(*p)] == []
+    df = spark.createDataFrame([("Voltaire",), ("Voltaire, 1694-1778",), ("Homer",)], "name string")
+    cluster = {r.name: r.cluster for r in names.link_names(df).collect()}
+    assert cluster["Voltaire"] == cluster["Voltaire, 1694-1778"] != cluster["Homer"]
+    assert survivors._score("The Bells of Sotoza", "Homer", "The Bels of Sotoza", "Homer") == 1.0 == survivors._score("The Bells of Sotoza", "???", "The Bels of Sotoza", "???")
+
+
 def test_linked_names(spark):
     given = ["Nightwood, Samuel, 1801-1860", "Sam Nightwood", "S. Nightwood", "Nightwood, Ursula, 1830-1890", "Orlaback, Una", None, "", "Nightwood, Samuel, 1801-1860"]
     df = spark.createDataFrame([(x,) for x in given], "name string").withColumn("id", F.lit("clash"))
