@@ -1,6 +1,7 @@
 """The best representative of each group of records of one work, by iterative truth discovery.
 
-1. Links. Records whose titles share a rare word, or the beginning or end of one, are compared: the titles must agree
+1. Links. Records whose titles share a rare word, or the beginning or end of one, are compared, and those of short titles
+   (or main titles) that are equal but for some letters left out: the titles must agree
    word by word but for typos, missing ends and subtitles, the volumes must be equal, and the first authors must be
    readable as one (`names.same`) or one be missing. Average linkage over these pairs gives groups.
 2. Truth. Each record claims a title, a first author and a volume for its group. A claim's support is the sum of the
@@ -14,6 +15,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookspark.llm.names import author_names, distance, fold, same
+from bookspark.llm.names import author_names, deletions, distance, fold, same
 from bookspark.llm.similarity import average_linkage, checked, cosine_candidates
 from bookspark.operators.durable import cut
 from bookspark.operators.layout import spread
@@ -69,7 +71,24 @@ def same_title(a: str | None, b: str | None) -> bool:
         wrong += d
     if len(x) < len(y) and len(x) < max(3, len(y) / 4):
         return False
-    return wrong <= 4
+    return wrong <= (4 if sum(map(len, x)) > 3 else 0)
+
+
+@lru_cache(100_000)
+def main_title(title: str | None) -> tuple[str, ...]:
+    """The words before the mark that begins a subtitle; all words if there is none."""
+    main = re.split(r"[:;([–—]|\s--?\s|--|,\s*or\b", _VOLUME.sub(" ", fold(title or "")))[0]
+    words = title_parts(main)[0]
+    return words or title_parts(title)[0]
+
+
+def same_main_title(a: str | None, b: str | None) -> bool:
+    """Whether one title is the whole main title of the other, which has a subtitle besides; both of one volume."""
+    if title_parts(a)[1] != title_parts(b)[1]:
+        return False
+    whole = [" ".join(title_parts(t)[0]) for t in (a, b)]
+    main = [" ".join(main_title(t)) for t in (a, b)]
+    return any(len(main[i].split()) == len(whole[1 - i].split()) and same_title(main[i], whole[1 - i]) for i in (0, 1))
 
 
 @lru_cache(100_000)
@@ -108,8 +127,23 @@ def _title_grams(title: str | None) -> list[str]:
     return sorted(words | {f"{w[:5]}-" for w in words if len(w) > 5} | {f"-{w[-5:]}" for w in words if len(w) > 5})
 
 
+def _title_keys(title: str | None) -> dict[str, bool]:
+    """Keys, and whether they are of the whole title, of a title, or main title, of one or two words, and of one that begins with three short words.
+
+    Two such titles that agree word by word have a key in common: each word is cut to its first letters, and as many of them
+    are left out as may be wrong.
+    """
+    keys: dict[str, bool] = {}
+    for words, whole in ((main_title(title), False), (title_parts(title)[0], True)):
+        if len(words) < 3 or max(map(len, words[:3])) <= 4:
+            parts = [deletions(w, 0 if len(w) < 3 else 1 if len(w) < 7 else 2, 6) for w in words[:3]]
+            keys |= {" ".join(k): whole for k in itertools.product(*parts) if words}
+    return keys
+
+
 def _score(title_a: str, author_a: str, title_b: str, author_b: str) -> float:
-    if not same_title(title_a, title_b):
+    # a title of a word or two without its subtitle needs the author besides
+    if not same_title(title_a, title_b) and not (author_a and author_b and same_main_title(title_a, title_b)):
         return 0.0
     # a volume that is cut off, and an author that is missing, are weaker ties than known ones
     sure = 1.0 if title_parts(title_a)[1] == title_parts(title_b)[1] else 0.6
@@ -156,8 +190,15 @@ def work_members(books: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "grams": [_title_grams(t) for t in b["title"]]})
 
+    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(i, k, whole) for i, t in zip(b["id"], b["title"]) for k, whole in _title_keys(t).items()], columns=["id", "k", "whole"])
+
     vectors = cut(spread(keyed).mapInPandas(each, "id bigint, grams array<string>"))
-    pairs = checked(cosine_candidates(vectors, COSINE), keyed.select("id", "title", "author"), _score)
+    keys = cut(spread(keyed).mapInPandas(short, "id bigint, k string, whole boolean"))
+    # a main title alone is enough on one side only: those of two long titles needn't meet here
+    met = keys.where("whole").select(F.col("id").alias("x"), "k").join(keys.select(F.col("id").alias("y"), "k"), "k").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = checked(cosine_candidates(vectors, COSINE).union(met).distinct(), keyed.select("id", "title", "author"), _score)
     groups = average_linkage(keyed.select("id"), pairs, LINKAGE).join(keyed, "id").select("title", "author", F.col("cluster").alias("grp"))
     member = rows.join(groups, ["title", "author"])
     size = member.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")

@@ -218,6 +218,19 @@ def test_titles_and_dates():
     assert {k: survivors.read_date(k) for k in dates} == dates
 
 
+def test_short_titles(spark):
+    a = "Nightwood, Samuel, 1801-1860"
+    pairs = [("Emma", "Emma: A Novel"), ("Moby Dick", "Moby Dick; or, The Whale"), ("The Sea", "The Soa"), ("Kim", "KIM"), ("紅樓夢", "紅樓夢 (一)"), ("Enna", "Enma"), ("The Old Man", "The Old Men")]
+    for x, y in pairs:
+        assert survivors._score(x, a, y, "Sam Nightwood") > 0 and set(survivors._title_keys(x)) & set(survivors._title_keys(y)), (x, y)
+    no = [("Emma", "Emma and Una"), ("Emma", "Emma: A Novel, Vol. 2"), ("Emma: A Novel", "Emma: A Play"), ("Kim", "Tim")]
+    assert [p for p in no if survivors._score(p[0], a, p[1], a)] == []
+    assert survivors._score("Emma", a, "Emma: A Novel", "") == 0 == survivors._score("Emma", a, "Emma: A Novel", "Daywood, Ursula, 1850-1900")
+    rows = [(1, "Emma", a), (2, "Emma: A Novel", "Sam Nightwood"), (3, "The Sea", a), (4, "The Sea", "S. Nightwood"), (5, "She", "Daywood, Ursula, 1850-1900"), (6, "She", "Ursula Daywood"), (7, "Kim", a)]
+    df = spark.createDataFrame([(i, t, x, "en", "", "", "", "2001", "Text") for i, t, x in rows], "id bigint, title string, authors string, language string, subjects string, locc string, bookshelves string, issued string, type string")
+    assert sorted(r.group_id for r in survivors.best_records(df).collect()) == [1, 3, 5]
+
+
 def test_survivors(spark):
     t, a = "Mirate, or the Bells of Sotoza", "Nightwood, Samuel, 1801-1860"
     rows = [
