@@ -280,6 +280,21 @@ def test_clean_records(spark):
     assert markup.clean_records(df.limit(0).drop("clean"), "id", "text").count() == 0
 
 
+@pytest.mark.parametrize("mark", ["_", "*", "**", "***"])
+def test_long_emphasis(mark):
+    letter = "My dear keeper, the light went down again, and nobody spoke of it. " * 30
+    r = markup.Reading(f"{mark}{letter.strip()}{mark}")
+    assert r.signs == 1 and markup.render(r, frozenset()) == letter.strip()
+    assert markup.Reading(f"{mark}{letter}\n\n{letter.strip()}{mark}").signs == 0
+
+
+def test_signs_let_all_markup_through(spark):
+    rows = ["- item\n- other", "    - item\n    - other", "     + a\n     + b", "a __ __ b", "_" + "x y " * 300 + "z_", "plain"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id bigint, text string")
+    got = {r.id: r.n_markup for r in markup.clean_records(df, "id", "text").collect()}
+    assert got == {i: markup.Reading(t).signs for i, t in enumerate(rows)} and [i for i in got if not got[i]] == [5]
+
+
 def test_marked_records_need_no_path_scores(spark, monkeypatch):
     rows = [(1, "a <i>b</i>"), (2, "## Head"), (3, None), (4, ""), (5, "plain * * * text"), (6, "<style>x</style>"), (6, "x &amp; y")]
     texts = spark.createDataFrame(rows, "book_id bigint, content string")
