@@ -295,6 +295,24 @@ def test_signs_let_all_markup_through(spark):
     assert got == {i: markup.Reading(t).signs for i, t in enumerate(rows)} and [i for i in got if not got[i]] == [5]
 
 
+def test_deep_paths_keep_structure_and_drop_scripts():
+    deep = "<html><body><div><div><div><div><div>"
+    r = markup.Reading(f"{deep}<h2>Head</h2><script>var x</script><p>Text.</p><table><tbody><tr><td>cell</td></tr></table>")
+    assert any(p[-1:] == ("script",) for p, _, _ in r.leaves) and max(len(p) for p, _, _ in r.leaves) <= 7
+    out = markup.render(r, frozenset("/".join(p) for p, _, _ in r.leaves if p and p[-1] == "script"))
+    assert "## Head" in out and "cell |" in out and "var x" not in out
+
+
+def test_the_bound_of_paths_changes_no_result(spark, monkeypatch):
+    body = "The keepers of the light went down, and the sea was still; nobody spoke a word to them."
+    rows = [(i, f"<div><p>{body}</p><div class=d{chr(97 + i % 9)}><span class=pagenum>[{i}]</span></div><nav><ul class=x{chr(97 + i % 5)}>next</ul></nav><style>a</style></div>") for i in range(60)]
+    df = spark.createDataFrame([*rows, (3, "<b>x</b>"), (4, None)], "id bigint, text string")
+    want = Counter(tuple(r) for r in markup.clean_records(df, "id", "text").collect())
+    monkeypatch.setattr(markup, "PATHS", 2)
+    assert Counter(tuple(r) for r in markup.clean_records(df, "id", "text").collect()) == want
+    assert not any("next" in (c or "") for _, _, c in want)
+
+
 def test_marked_records_need_no_path_scores(spark, monkeypatch):
     rows = [(1, "a <i>b</i>"), (2, "## Head"), (3, None), (4, ""), (5, "plain * * * text"), (6, "<style>x</style>"), (6, "x &amp; y")]
     texts = spark.createDataFrame(rows, "book_id bigint, content string")
