@@ -1,11 +1,10 @@
 """Variant spellings of names: which mean the same person or body.
 
-Names of bodies become vectors of character n-grams of their words, weighted by rarity; a lossless sparse join finds all
-pairs above a cosine threshold, as many partners as there are. Persons are compared if their surnames are alike in some
-reading: the different surnames are joined on what is left of them when some letters are left out, which loses no pair
-within the edits that `same` allows, then the names on these pairs. A pair counts if the two names can be read as one name (typos,
-initials, nicknames, other order, missing parts), and not if life dates or given names contradict. Average linkage
-over these pairs makes the groups: a name that fits two persons goes to the nearer one and doesn't join the two.
+Each different name becomes a vector of the character trigrams of all its words, its initials and its life dates, weighted
+by rarity. A sparse join finds every pair whose cosine is at least `COSINE`, as many partners as there are (or the `top`
+nearest). Average linkage over the cosines makes the groups, down to a mean of `LINKAGE`: a name that fits two persons goes
+to the nearer one and doesn't join the two. Rules only forbid: a pair that can't be read as one name (other given names,
+contradicting life dates, other bodies; see `same`) has cosine 0, however alike its letters are.
 """
 
 from __future__ import annotations
@@ -20,23 +19,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookspark.llm.similarity import average_linkage, checked, cosine_candidates
+from bookspark.llm.similarity import average_linkage, cosine_join, merged
 from bookspark.operators.durable import cut
 from bookspark.operators.layout import spread
 from bookspark.operators.packed import split_packed
 
-COSINE, LINKAGE = 0.33, 0.5
-# Familiar forms of given names, forms of address, words of bodies and their abbreviations.
+COSINE, LINKAGE = 0.4, 0.3
+# Familiar and shortened forms of given names (some of several), forms of address, words of bodies and their abbreviations.
 NICKNAMES = {
-    "archie": "archibald", "gus": "augustus", "bert": "albert", "al": "albert", "alex": "alexander", "alec": "alexander", "sandy": "alexander", "annie": "anne", "nan": "anne", "nancy": "anne",
+    "archie": "archibald", "gus": "augustus", "bert": "albert herbert robert", "al": "albert alexander", "alex": "alexander", "alec": "alexander", "sandy": "alexander", "annie": "anne", "nan": "anne", "nancy": "anne",
     "bas": "basil", "ben": "benjamin", "benny": "benjamin", "bella": "isabella", "belle": "isabella", "kate": "catherine", "kitty": "catherine", "cathy": "catherine", "charlie": "charles",
-    "chuck": "charles", "kit": "christopher", "chris": "christopher", "clem": "clement", "dolly": "dorothy", "dot": "dorothy", "ed": "edward", "eddie": "edward", "ned": "edward", "ted": "edward", "teddy": "theodore",
+    "chuck": "charles", "kit": "christopher catherine", "chris": "christopher", "clem": "clement", "dolly": "dorothy", "dot": "dorothy", "ed": "edward", "eddie": "edward", "ned": "edward", "ted": "edward theodore", "teddy": "theodore edward",
     "bess": "elizabeth", "beth": "elizabeth", "betsy": "elizabeth", "betty": "elizabeth", "eliza": "elizabeth", "lizzie": "elizabeth", "liz": "elizabeth", "fanny": "frances", "frank": "francis",
-    "fred": "frederick", "freddie": "frederick", "gil": "gilbert", "hal": "henry", "harry": "henry", "nell": "helen", "nellie": "helen", "jim": "james", "jimmy": "james", "jack": "john", "johnny": "john",
-    "joe": "joseph", "jo": "josephine", "josie": "josephine", "larry": "lawrence", "lou": "louis", "len": "leonard", "leo": "leonard", "maggie": "margaret", "meg": "margaret", "peg": "margaret", "peggy": "margaret", "daisy": "margaret",
-    "molly": "mary", "polly": "mary", "patty": "martha", "mattie": "martha", "tilly": "matilda", "tilda": "matilda", "nat": "nathaniel", "nate": "nathaniel", "percy": "percival", "dick": "richard", "rick": "richard",
+    "fred": "frederick alfred", "freddie": "frederick alfred", "gil": "gilbert", "hal": "henry", "harry": "henry harold", "nell": "helen eleanor", "nellie": "helen eleanor", "jim": "james", "jimmy": "james", "jamie": "james", "jack": "john", "johnny": "john",
+    "joe": "joseph", "jo": "josephine joseph", "josie": "josephine", "larry": "lawrence", "lou": "louis", "len": "leonard", "leo": "leonard", "maggie": "margaret", "meg": "margaret", "peg": "margaret", "peggy": "margaret", "daisy": "margaret",
+    "molly": "mary", "polly": "mary", "patty": "martha patricia", "mattie": "martha", "tilly": "matilda", "tilda": "matilda", "nat": "nathaniel", "nate": "nathaniel", "percy": "percival", "dick": "richard", "rick": "richard",
     "bob": "robert", "rob": "robert", "robbie": "robert", "robin": "robert", "sam": "samuel", "sammy": "samuel", "sally": "sarah", "sadie": "sarah", "theo": "theodore", "tom": "thomas", "tommy": "thomas", "bill": "william",
-    "billy": "william", "will": "william", "willie": "william", "mina": "wilhelmina", "minnie": "wilhelmina", "willa": "wilhelmina", "winnie": "winifred", "freda": "winifred",
+    "billy": "william", "will": "william", "willie": "william", "mina": "wilhelmina", "minnie": "wilhelmina mary", "willa": "wilhelmina", "winnie": "winifred", "freda": "winifred",
+    "chas": "charles", "jos": "joseph", "geo": "george", "wm": "william", "thos": "thomas", "jas": "james", "jno": "john", "robt": "robert", "edw": "edward", "benj": "benjamin", "saml": "samuel", "danl": "daniel", "richd": "richard", "fredk": "frederick", "nathl": "nathaniel", "alexr": "alexander",
 }
 ADDRESS = {"sir", "dr", "mr", "mrs", "miss", "ms", "rev", "reverend", "prof", "professor", "lady", "lord", "dame", "capt", "captain", "hon", "col", "major", "st", "saint"}
 BODIES = {
@@ -111,12 +111,6 @@ def deletions(w: str, most: int, head: int = 12) -> set[str]:
     return {"".join(c for i, c in enumerate(h) if i not in out) for k in range(min(most, len(h)) + 1) for out in itertools.combinations(range(len(h)), k)}
 
 
-def alike_keys(w: str) -> set[str]:
-    """Keys of which any two words that `_alike` accepts have one in common."""
-    k = _slack(w, w)
-    return deletions(w, k) | (deletions(_scanned(w), 1) if k else set())
-
-
 def _unshortened(w: str) -> str:
     """The only word of bodies of which `w` has some letters in their order, the first among them; else `w`."""
     if w in ADDRESS:
@@ -172,11 +166,18 @@ class Name:
 name = lru_cache(100_000)(Name)
 
 
+def full_names(given: str) -> list[str]:
+    """The given names that a form may stand for; itself if it isn't a familiar form."""
+    return NICKNAMES.get(given, given).split()
+
+
 def _given(a: str, b: str) -> bool:
     if len(a) == 1 or len(b) == 1:
         return a[0] == b[0]
-    a, b = NICKNAMES.get(a, a), NICKNAMES.get(b, b)
-    return a == b or _alike(a, b)
+    if any(x == y or _alike(x, y) for x in full_names(a) for y in full_names(b)):
+        return True
+    # a typo in a name of three letters, if it makes it longer
+    return min(len(a), len(b)) == 3 < max(len(a), len(b)) and a[0] == b[0] and distance(a, b, 1) == 1
 
 
 def _givens(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
@@ -215,77 +216,40 @@ def same(a: str, b: str) -> bool:
 
 
 def grams(text: str) -> list[str]:
-    """Character n-grams of the name's words, and its years."""
+    """Character trigrams of the name's words, from the mark before to the mark behind each, initials, and years."""
     n = name(text)
-    words = n.words if n.body else {w for s, g in n.readings for w in (*s.split(), *(NICKNAMES.get(x, x) for x in g))}
-    out = {p[i : i + 4] for w in words if len(w) > 2 for p in [f"#{w}#"] for i in range(len(p) - 3)}
-    return sorted(out | {f"b{n.birth}", f"d{n.death}"} - {"b", "d"} | ({f"{w}" for w in words if len(w) <= 2} if not out else set()))
+    words = set(n.words) if n.body else {w for s, g in n.readings for w in (*s.split(), *(full for x in g for full in full_names(x)))}
+    out = {p[i : i + 3] for w in words if len(w) > 1 for p in [f"#{w}#"] for i in range(len(p) - 2)}
+    first = set() if n.body else {f".{w[0]}" for w in words}
+    return sorted(out | first | {f"b{n.birth}", f"d{n.death}"} - {"b", "d"})
 
 
-def body_grams(text: str) -> list[str]:
-    """Character n-grams of a body's words; none of a person."""
-    words = set(name(text).words)
-    out = {p[i : i + 4] for w in words if len(w) > 2 for p in [f"#{w}#"] for i in range(len(p) - 3)}
-    return sorted(out | {w for w in words if len(w) <= 2})
-
-
-def _score(a: str, b: str) -> float:
-    if not same(a, b):
-        return 0.0
-    g, h = set(grams(a)), set(grams(b))
-    return 0.6 + 0.4 * len(g & h) / max(1.0, (len(g) * len(h)) ** 0.5)
-
-
-def _surnames(text: str) -> list[tuple[str, str, str]]:
-    """(surname, birth, death) of each reading of a person's name."""
-    n = name(text)
-    return [(s, n.birth, n.death) for s in sorted({s for s, _ in n.readings})]
+def similar_names(rows: DataFrame, top: int | None = None) -> DataFrame:
+    """(a, b, s), a < b, of the names in `rows` (id, name: different, not blank) that are alike by cosine `s` and not forbidden by `same`."""
 
-
-def person_candidates(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b, of all names of persons in `rows` (id, name) with surnames alike in some reading and life dates that don't contradict."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [(i, *r) for i, n in zip(b["id"], b["name"]) for r in _surnames(n)]
-            yield pd.DataFrame(found, columns=["id", "surname", "birth", "death"])
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(s, k) for s in b["surname"] for k in alike_keys(s)], columns=["surname", "k"])
+            yield pd.DataFrame({"id": b["id"], "grams": [grams(x) for x in b["name"]]})
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def allowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[[_alike(s, t) for s, t in zip(b["s"], b["t"])]]
+            yield b.loc[[same(x, y) for x, y in zip(b["x"], b["y"])], ["a", "b", "s"]]
 
-    readings = cut(spread(rows).mapInPandas(read, "id bigint, surname string, birth string, death string"))
-    surnames = cut(readings.select("surname").distinct())
-    keyed = cut(spread(surnames).mapInPandas(keys, "surname string, k string"))
-    met = keyed.select(F.col("surname").alias("s"), "k").join(keyed.select(F.col("surname").alias("t"), "k"), "k").where("s < t").select("s", "t").distinct()
-    alike = cut(spread(met).mapInPandas(near, "s string, t string"))
-    alike = alike.union(alike.select("t", "s")).union(surnames.select("surname", "surname")).toDF("s", "t")
-    x, y = (readings.select(F.col("id").alias(i), F.col("surname").alias(c), F.col("birth").alias(f"birth_{i}"), F.col("death").alias(f"death_{i}")) for i, c in (("a", "s"), ("b", "t")))
-    fits = [(F.col(f"{d}_a") == "") | (F.col(f"{d}_b") == "") | (F.col(f"{d}_a") == F.col(f"{d}_b")) for d in ("birth", "death")]
-    return x.join(alike, "s").join(y, "t").where((F.col("a") < F.col("b")) & fits[0] & fits[1]).select("a", "b").distinct()
+    vectors = cut(spread(rows.select("id", "name")).mapInPandas(each, "id bigint, grams array<string>"))
+    near = cosine_join(vectors, COSINE, top).withColumnRenamed("cosine", "s")
+    named = merged(merged(near, rows.select(F.col("id").alias("a"), F.col("name").alias("x")), "a"), rows.select(F.col("id").alias("b"), F.col("name").alias("y")), "b")
+    return named.select("a", "b", "s", "x", "y").mapInPandas(allowed, "a bigint, b bigint, s double")
 
 
-def link_names(names: DataFrame) -> DataFrame:
+def link_names(names: DataFrame, top: int | None = None) -> DataFrame:
     """(name, cluster, id) of the different non-blank values of the column `name`; `cluster` is the smallest id of the group.
 
     Ids number the names of one call and mean nothing else. Null and blank names have no row; an empty table gives none.
     """
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "grams": [body_grams(x) for x in b["name"]]})
-
-    # two 64-bit hashes could meet; names are numbered instead, in their order
+    # two 64-bit hashes could meet; names are numbered instead
     distinct = names.select("name").where(F.col("name").isNotNull() & (F.trim("name") != "")).distinct()
     rows = cut(distinct.select(F.monotonically_increasing_id().alias("id"), "name"))
-    vectors = cut(spread(rows).mapInPandas(each, "id bigint, grams array<string>").where(F.size("grams") > 0))
-    candidates = cosine_candidates(vectors, COSINE).union(person_candidates(rows))  # no name is both
-    pairs = checked(candidates, rows.select("id", "name"), _score)
-    return average_linkage(rows.select("id"), pairs, LINKAGE).join(rows, "id").select("name", "cluster", "id")
+    return merged(average_linkage(rows.select("id"), similar_names(rows, top), LINKAGE), rows, "id").select("name", "cluster", "id")
 
 
 def author_names(books: DataFrame) -> DataFrame:
@@ -297,4 +261,4 @@ def same_names(books: DataFrame) -> DataFrame:
     """(name_a, name_b) of different names in `authors` that mean the same, the smaller in code point order first."""
     linked = cut(link_names(author_names(books)))
     a, b = linked.select(F.col("name").alias("x"), "cluster", F.col("id").alias("i")), linked.select(F.col("name").alias("y"), "cluster", F.col("id").alias("j"))
-    return a.join(b, "cluster").where("i < j").select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"))
+    return merged(a, b, "cluster").where("i < j").select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"))

@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import itertools
+import logging
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,13 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookspark.llm.names import author_names, deletions, distance, fold, same
-from bookspark.llm.similarity import average_linkage, checked, cosine_candidates
+from bookspark.llm.names import author_names, deletions, distance, fold, same, similar_names
+from bookspark.llm.similarity import average_linkage, cosine_join, merged
 from bookspark.operators.durable import cut
 from bookspark.operators.layout import spread
-from bookspark.operators.packed import split_packed
 
-COSINE, LINKAGE, TOLERANCE, ROUNDS = 0.33, 0.5, 1e-3, 10
+log = logging.getLogger(__name__)
+COSINE, LINKAGE, TOLERANCE = 0.15, 0.5, 1e-3
 FIELDS = ["title", "authors", "language", "subjects", "locc", "bookshelves", "issued", "type"]
 # Names of months, roman numerals of volumes.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -38,18 +39,33 @@ ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii
 _VOLUME = re.compile(r"[\s,;:(\[-]*\b(?:vol(?:ume)?|part|book|bd|tome?)\b\.?\s*([0-9]+|[ivx]+)\b[)\]]*")
 
 
+_ARTICLE = r"(?:the|an?|der|die|das|le|la|les|los|las|el|il|lo)"
+
+
+def _flat(title: str | None) -> str:
+    """Small letters without accents, "&" as a word, without the article at the beginning or, after a comma, at the end of the title or main title."""
+    flat = fold(title or "").replace("&", " and ")
+    flat = re.sub(rf",\s*{_ARTICLE}\b(?=\W*$|\s*[.,:;–—\[(\n]|\s+-)", " ", flat, count=1)
+    return re.sub(rf"^\W*{_ARTICLE}\s+(?=\w)", "", flat)
+
+
 @lru_cache(100_000)
 def title_parts(title: str | None) -> tuple[tuple[str, ...], str, bool]:
-    """(words in small letters without accents, volume or '', whether the end is cut off)."""
-    flat = fold(title or "")
+    """(words in small letters without accents or article, volume or '', whether the end is cut off)."""
+    flat = _flat(title)
     volume = ""
     if m := _VOLUME.search(flat):
         volume = str(ROMAN.index(m[1]) + 1) if m[1] in ROMAN else m[1].lstrip("0") or m[1]
-        flat = flat[: m.start()] + " " + flat[m.end() :]
+        flat = _flat(flat[: m.start()] + " " + flat[m.end() :])
     words = tuple(re.findall(r"[^\W_]+", re.sub(r"['’]", "", flat)))
     return words, volume, bool(re.search(r"(…|\.\.\.)\W*$", flat))
 
 
+@lru_cache(100_000)
+def has_article(title: str | None) -> bool:
+    return _flat(title) != fold(title or "").replace("&", " and ")
+
+
 def same_title(a: str | None, b: str | None) -> bool:
     """Whether two titles can be of one work; missing titles can't."""
     (x, v, cut_x), (y, w, cut_y) = title_parts(a), title_parts(b)
@@ -57,6 +73,9 @@ def same_title(a: str | None, b: str | None) -> bool:
         x, y, v, w, cut_x, cut_y = y, x, w, v, cut_y, cut_x
     if not x or (v != w and not (v == "" and cut_x or w == "" and cut_y)):
         return False
+    # the same letters but for two, where a typo has moved a space or a sign between words
+    if min(sum(map(len, x)), sum(map(len, y))) > 15 and distance("".join(x), "".join(y), 2) <= 2:
+        return True
     wrong = 0
     for i, (p, q) in enumerate(zip(x, y)):
         if p == q:
@@ -71,13 +90,14 @@ def same_title(a: str | None, b: str | None) -> bool:
         wrong += d
     if len(x) < len(y) and len(x) < max(3, len(y) / 4):
         return False
-    return wrong <= (4 if sum(map(len, x)) > 3 else 0)
+    # a word of three letters alone is too short for a typo; with an article on both sides it isn't alone
+    return wrong <= (4 if sum(map(len, x)) > 3 or has_article(a) and has_article(b) else 0)
 
 
 @lru_cache(100_000)
 def main_title(title: str | None) -> tuple[str, ...]:
     """The words before the mark that begins a subtitle; all words if there is none."""
-    main = re.split(r"[:;([–—]|\s--?\s|--|,\s*or\b", _VOLUME.sub(" ", fold(title or "")))[0]
+    main = re.split(r"[:;([–—]|\s--?\s|--|,\s*or\b", _VOLUME.sub(" ", _flat(title)))[0]
     words = title_parts(main)[0]
     return words or title_parts(title)[0]
 
@@ -122,9 +142,9 @@ def _style(issued: str | None, language: str | None, kind: str | None) -> str:
 
 
 def _title_grams(title: str | None) -> list[str]:
-    """Long words, their beginnings and ends."""
+    """Words of four letters or more, and their first and last five letters."""
     words = {w for w in title_parts(title)[0] if len(w) > 3}
-    return sorted(words | {f"{w[:5]}-" for w in words if len(w) > 5} | {f"-{w[-5:]}" for w in words if len(w) > 5})
+    return sorted(words | {f"{w[:5]}-" for w in words if len(w) > 4} | {f"-{w[-5:]}" for w in words if len(w) > 4})
 
 
 def _title_keys(title: str | None) -> dict[str, bool]:
@@ -141,68 +161,114 @@ def _title_keys(title: str | None) -> dict[str, bool]:
     return keys
 
 
-def _score(title_a: str, author_a: str, title_b: str, author_b: str) -> float:
-    # a title of a word or two without its subtitle needs the author besides
-    if not same_title(title_a, title_b) and not (author_a and author_b and same_main_title(title_a, title_b)):
-        return 0.0
-    # a volume that is cut off, and an author that is missing, are weaker ties than known ones
-    sure = 1.0 if title_parts(title_a)[1] == title_parts(title_b)[1] else 0.6
-    if not author_a or not author_b:
-        return 0.75 * sure + 0.05
-    return sure if author_a == author_b or same(author_a, author_b) else 0.0
+def _title_score(a: str, b: str) -> tuple[float, bool]:
+    """(how surely two titles are of one work, 0 if they aren't; whether only with the author known)."""
+    if same_title(a, b):
+        # a volume that is cut off is a weaker tie than a known one
+        return 1.0 if title_parts(a)[1] == title_parts(b)[1] else 0.6, False
+    return (1.0, True) if same_main_title(a, b) else (0.0, True)
+
+
+def title_form(title: str) -> str:
+    """What `_title_score` depends on: titles of one form are of one work if their authors are."""
+    words, volume, cut_off = title_parts(title)
+    short = sum(map(len, words)) <= 3 and has_article(title)
+    return f"{' '.join(words)}|{volume}|{cut_off:d}{short:d}|{' '.join(main_title(title))}"
+
+
+def alike_titles(forms: DataFrame) -> DataFrame:
+    """(s, t, sure, known), s <> t, both ways round, of the `forms` (form: bigint, title) whose titles can be of one work."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["form"], "grams": [_title_grams(t) for t in b["title"]]})
+
+    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(i, k, whole) for i, t in zip(b["form"], b["title"]) for k, whole in _title_keys(t).items()], columns=["id", "k", "whole"])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(x, y, *_title_score(s, t)) for x, y, s, t in zip(b["s"], b["t"], b["x"], b["y"])]
+            yield pd.DataFrame([r for r in found if r[2]], columns=["s", "t", "sure", "known"])
+
+    wide = spread(forms.select("form", "title"))
+    near = cosine_join(cut(wide.mapInPandas(each, "id bigint, grams array<string>")), COSINE, power=2.0, reach=0.8).select(F.col("a").alias("s"), F.col("b").alias("t"))
+    # a main title alone is enough on one side only: those of two long titles needn't meet here
+    keys = cut(wide.mapInPandas(short, "id bigint, k string, whole boolean"))
+    met = merged(keys.where("whole").select(F.col("id").alias("x"), "k"), keys.select(F.col("id").alias("y"), "k"), "k").where("x <> y")
+    pairs = near.union(met.select(F.least("x", "y"), F.greatest("x", "y"))).distinct()
+    titled = merged(merged(pairs, forms.select(F.col("form").alias("s"), F.col("title").alias("x")), "s"), forms.select(F.col("form").alias("t"), F.col("title").alias("y")), "t")
+    found = cut(titled.select("s", "t", "x", "y").mapInPandas(score, "s bigint, t bigint, sure double, known boolean"))
+    return found.union(found.select("t", "s", "sure", "known"))
+
+
+def work_links(nodes: DataFrame, forms: DataFrame) -> DataFrame:
+    """(a, b, s), a < b, of the `nodes` (id, form, author) that can be of one work: titles and first authors fit.
+
+    Titles are compared with titles and authors with authors, so a title that very many authors have, or an author of very
+    many titles, is compared once; nodes only meet on a pair of forms and a pair of authors that fit. A missing author
+    fits any, as a weaker tie, unless the titles fit only with the author known.
+    """
+    titles = alike_titles(forms)
+    titles = cut(titles.union(forms.select("form", "form", F.lit(1.0), F.lit(False))))
+    named = cut(nodes.select(F.col("author").alias("name")).where("name <> ''").distinct().select(F.monotonically_increasing_id().alias("id"), "name"))
+    alike = cut(similar_names(named))
+    x, y = named.toDF("a", "x"), named.toDF("b", "y")
+    alike = merged(merged(alike, x, "a"), y, "b").select("x", "y")
+    authors = cut(alike.union(alike.select("y", "x")).union(named.select("name", "name")))
+    of = merged(nodes.select(F.col("id").alias("a"), F.col("form").alias("s"), F.col("author").alias("x")), titles, "s")
+    other = nodes.select(F.col("id").alias("b"), F.col("form").alias("t"), F.col("author").alias("y"))
+    both = merged(merged(of.where("x <> ''"), authors, "x"), other, ["t", "y"]).where("a < b").select("a", "b", F.col("sure").alias("s"))
+    one = merged(of.where("x = '' and not known"), other, "t").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (0.75 * F.col("sure") + 0.05).alias("s"))
+    return both.union(one.distinct())
 
 
 def _truth(claims: DataFrame) -> DataFrame:
     """(grp, field, claim, support) of the claims (id, grp, field, claim, source): support is the share of votes, 0 to 1, at convergence."""
-    spark = claims.sparkSession
     votes = cut(claims.groupBy("grp", "field", "claim", "source").agg(F.count("*").alias("n")))
-    weights: dict[tuple[str, str], float] = {}
-    for _ in range(ROUNDS):
-        table = spark.createDataFrame([(f, s, w) for (f, s), w in weights.items()] or [("", "", 1.0)], "field string, source string, weight double")
-        weighted = votes.join(F.broadcast(table), ["field", "source"], "left").withColumn("w", F.coalesce("weight", F.lit(0.5)) * F.col("n"))
+    trust = cut(votes.select("field", "source").distinct().withColumn("trust", F.lit(0.5)))
+    for turn in itertools.count():
+        weighted = votes.join(trust, ["field", "source"]).withColumn("w", F.col("trust") * F.col("n"))
         support = weighted.groupBy("grp", "field", "claim").agg(F.sum("w").alias("w"))
         total = support.groupBy("grp", "field").agg(F.sum("w").alias("all"))
-        share = support.join(total, ["grp", "field"]).select("grp", "field", "claim", (F.col("w") / F.col("all")).alias("support"))
-        trust = votes.join(share, ["grp", "field", "claim"]).groupBy("field", "source").agg((F.sum(F.col("n") * F.col("support")) / F.sum("n")).alias("trust"))
-        new = {(r["field"], r["source"]): r["trust"] for r in trust.collect()}
-        moved = max((abs(new[k] - weights.get(k, 0.5)) for k in new), default=0.0)
-        weights = new
-        if moved <= TOLERANCE:
-            break
-    return share
+        share = cut(merged(support, total, ["grp", "field"]).select("grp", "field", "claim", (F.col("w") / F.col("all")).alias("support")))
+        mean = merged(votes, share, ["grp", "field", "claim"]).groupBy("field", "source").agg((F.sum(F.col("n") * F.col("support")) / F.sum("n")).alias("mean"))
+        # from the eighth turn on the steps are halved each time, so the estimates come to rest in any case
+        step = F.lit(0.5 ** max(0, turn - 8))
+        moved = merged(trust, mean, ["field", "source"]).withColumn("new", F.col("trust") + step * (F.col("mean") - F.col("trust")))
+        moved = cut(moved.select("field", "source", "trust", "new"))
+        most = moved.agg(F.max(F.abs(F.col("new") - F.col("trust")))).first()[0] or 0.0
+        trust = moved.select("field", "source", F.col("new").alias("trust"))
+        log.info("truth discovery, turn %d: the largest change of a reliability is %.2g", turn + 1, most)
+        if most <= TOLERANCE:
+            return share
 
 
 def work_members(books: DataFrame) -> DataFrame:
     """(id, grp, filled, title_size, n_authors, date) of the records that share their work with others: links, truth, and leaving (1. to 3.)."""
-    names = author_names(books)
-    first = names.groupBy("id").agg(F.min_by("name", "pos").alias("author"))
-    values = split_packed(books.select("id", "authors"), "id", ["authors"]).groupBy("id").agg(F.count("*").alias("n_authors"))
+    values = cut(author_names(books))
+    authors = values.groupBy("id").agg(F.min_by("name", "pos").alias("author"), F.count("*").alias("n_authors"))
     filled = sum((F.when(F.trim(F.coalesce(F.regexp_replace(F.col(c), r"(?U)\s+", ""), F.lit(""))) != "", 1).otherwise(0) for c in FIELDS), F.lit(0))
     title_size = F.length(F.regexp_replace(F.coalesce("title", F.lit("")), r"[^\p{L}\p{N}]+", ""))
     base = books.select("id", "title", "issued", "language", "type", filled.alias("filled"), title_size.alias("title_size"))
-    rows = cut(base.join(first, "id", "left").join(values, "id", "left").na.fill({"author": "", "n_authors": 0, "title": ""}))
-
-    # 1. links between different (title, first author) records
-    keyed = rows.where(F.regexp_replace("title", r"[^\p{L}\p{N}]+", "") != "").groupBy("title", "author").agg(F.min("id").alias("id"))
-    keyed = cut(keyed)
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "grams": [_title_grams(t) for t in b["title"]]})
+    rows = cut(merged(base, authors, "id", "left").na.fill({"author": "", "n_authors": 0, "title": ""}))
 
-    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # 1. links between different (form of title, first author) records
+    def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(i, k, whole) for i, t in zip(b["id"], b["title"]) for k, whole in _title_keys(t).items()], columns=["id", "k", "whole"])
-
-    vectors = cut(spread(keyed).mapInPandas(each, "id bigint, grams array<string>"))
-    keys = cut(spread(keyed).mapInPandas(short, "id bigint, k string, whole boolean"))
-    # a main title alone is enough on one side only: those of two long titles needn't meet here
-    met = keys.where("whole").select(F.col("id").alias("x"), "k").join(keys.select(F.col("id").alias("y"), "k"), "k").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = checked(cosine_candidates(vectors, COSINE).union(met).distinct(), keyed.select("id", "title", "author"), _score)
-    groups = average_linkage(keyed.select("id"), pairs, LINKAGE).join(keyed, "id").select("title", "author", F.col("cluster").alias("grp"))
-    member = rows.join(groups, ["title", "author"])
+            yield pd.DataFrame({"title": b["title"], "text": [title_form(t) for t in b["title"]]})
+
+    titles = rows.where(F.regexp_replace("title", r"[^\p{L}\p{N}]+", "") != "").select("title").distinct()
+    titles = cut(spread(titles).mapInPandas(form, "title string, text string"))
+    forms = cut(titles.groupBy("text").agg(F.min("title").alias("title")).select(F.monotonically_increasing_id().alias("form"), "text", "title"))
+    of = merged(titles, forms.select("text", "form"), "text").select("title", "form")
+    formed = cut(merged(rows, of, "title"))
+    nodes = cut(formed.groupBy("form", "author").agg(F.min("id").alias("id")))
+    groups = average_linkage(nodes.select("id"), work_links(nodes, forms.select("form", "title")), LINKAGE)
+    member = merged(formed, merged(nodes, groups, "id").select("form", "author", F.col("cluster").alias("grp")), ["form", "author"])
     size = member.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
-    member = cut(member.join(size.select("grp"), "grp"))
+    member = cut(merged(member, size.select("grp"), "grp"))
 
     # 2. truth by votes of styles
     def claim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,7 +295,7 @@ def work_members(books: DataFrame) -> DataFrame:
             kept = b[keep]
             yield pd.DataFrame({c: kept[c] for c in ("id", "grp", "filled", "title_size", "n_authors")} | {"date": [read_date(x) for x in kept["issued"]]})
 
-    return member.join(truth, "grp").mapInPandas(agree, "id bigint, grp bigint, filled int, title_size int, n_authors bigint, date bigint")
+    return merged(member, truth, "grp").mapInPandas(agree, "id bigint, grp bigint, filled int, title_size int, n_authors bigint, date bigint")
 
 
 def best_records(books: DataFrame) -> DataFrame:
