@@ -23,7 +23,7 @@ def merged(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "i
     return left.join(right.hint("shuffle_merge"), on, how)
 
 
-def cosine_join(rows: DataFrame, threshold: float, top: int | None = None, power: float = 1.0, reach: float = 0.65) -> DataFrame:
+def cosine_join(rows: DataFrame, threshold: float, top: int | None = None, power: float = 1.0, reach: float = 0.4) -> DataFrame:
     """(a, b, cosine), a < b, of the rows whose weighted vectors have a cosine of at least `threshold`; exact and lossless.
 
     `rows`: (id: bigint, grams: array<string>), each id and each gram of a row once; a gram weighs log(1 + N / rows with

@@ -176,8 +176,17 @@ def title_form(title: str) -> str:
     return f"{' '.join(words)}|{volume}|{cut_off:d}{short:d}|{' '.join(main_title(title))}"
 
 
+def _far(x, y):
+    """Whether two titles, as far as the shorter goes, are further apart than any that `_title_score` accepts.
+
+    Four typos are at most eight plain edits (a swap is two), and move the end of the shorter by four letters at most.
+    """
+    m = F.least(F.length(x), F.length(y))
+    return F.levenshtein(x.substr(F.lit(1), m), y.substr(F.lit(1), m), 12) < 0
+
+
 def alike_titles(forms: DataFrame) -> DataFrame:
-    """(s, t, sure, known), s <> t, both ways round, of the `forms` (form: bigint, title) whose titles can be of one work."""
+    """(s, t, sure, known), s <> t, both ways round, of the `forms` (form: bigint, title, words: in one string) whose titles can be of one work."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -198,7 +207,8 @@ def alike_titles(forms: DataFrame) -> DataFrame:
     keys = cut(wide.mapInPandas(short, "id bigint, k string, whole boolean"))
     met = merged(keys.where("whole").select(F.col("id").alias("x"), "k"), keys.select(F.col("id").alias("y"), "k"), "k").where("x <> y")
     pairs = near.union(met.select(F.least("x", "y"), F.greatest("x", "y"))).distinct()
-    titled = merged(merged(pairs, forms.select(F.col("form").alias("s"), F.col("title").alias("x")), "s"), forms.select(F.col("form").alias("t"), F.col("title").alias("y")), "t")
+    one, other = forms.select("form", "title", "words").toDF("s", "x", "wx"), forms.select("form", "title", "words").toDF("t", "y", "wy")
+    titled = merged(merged(pairs, one, "s"), other, "t").where(~_far(F.col("wx"), F.col("wy")))
     found = cut(titled.select("s", "t", "x", "y").mapInPandas(score, "s bigint, t bigint, sure double, known boolean"))
     return found.union(found.select("t", "s", "sure", "known"))
 
@@ -265,7 +275,7 @@ def work_members(books: DataFrame) -> DataFrame:
     of = merged(titles, forms.select("text", "form"), "text").select("title", "form")
     formed = cut(merged(rows, of, "title"))
     nodes = cut(formed.groupBy("form", "author").agg(F.min("id").alias("id")))
-    groups = average_linkage(nodes.select("id"), work_links(nodes, forms.select("form", "title")), LINKAGE)
+    groups = average_linkage(nodes.select("id"), work_links(nodes, forms.select("form", "title", F.substring_index("text", "|", 1).alias("words"))), LINKAGE)
     member = merged(formed, merged(nodes, groups, "id").select("form", "author", F.col("cluster").alias("grp")), ["form", "author"])
     size = member.groupBy("grp").agg(F.count("*").alias("members")).where("members > 1")
     member = cut(merged(member, size.select("grp"), "grp"))

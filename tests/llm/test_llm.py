@@ -255,7 +255,7 @@ def test_short_titles(spark):
     # only with the author known, see work_links
     assert survivors._title_score("Emma", "Emma: A Novel") == (1.0, True)
     nodes = spark.createDataFrame([(1, 10, a), (2, 20, ""), (3, 20, "Daywood, Ursula, 1850-1900"), (4, 20, "Sam Nightwood"), (5, 10, "")], "id bigint, form bigint, author string")
-    forms = spark.createDataFrame([(10, "Emma"), (20, "Emma: A Novel")], "form bigint, title string")
+    forms = spark.createDataFrame([(10, "Emma", "emma"), (20, "Emma: A Novel", "emma a novel")], "form bigint, title string, words string")
     assert {(r.a, r.b): r.s for r in survivors.work_links(nodes, forms).collect()} == {(1, 4): 1.0, (1, 5): 0.8, (2, 3): 0.8, (2, 4): 0.8}
     rows = [(1, "Emma", a), (2, "Emma: A Novel", "Sam Nightwood"), (3, "The Sea", a), (4, "The Sea", "S. Nightwood"), (5, "She", "Daywood, Ursula, 1850-1900"), (6, "She", "Ursula Daywood"), (7, "Kim", a)]
     df = spark.createDataFrame([(i, t, x, "en", "", "", "", "2001", "Text") for i, t, x in rows], "id bigint, title string, authors string, language string, subjects string, locc string, bookshelves string, issued string, type string")
