@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 #: Paragraphs looked at for an opening line.
 OPENING_CANDIDATES = 4
 # Words that may stay small in a title, signs that end a sentence, words that make no search.
-CONNECTORS = "a an and as at but by de for from in la le nor of on or the to up van von with".split()
-STOPWORDS = "about after again also been before being could does from have having here into just like more most much must only other over shall should some such than that their them then there these they this those through under very was were what when where which while who whom will with would your".split()
+CONNECTORS = "a an and as at by for from in of on or the to with".split()
+STOPWORDS = "about after before being call could first from have having however into little never ought shall should since some there these those through under until upon when where which while would years".split()
+#: Shown for nothing and for zero.
+NOTHING = "-"
 
 
 def _column(c) -> Column:
@@ -24,9 +26,9 @@ def single_line(c) -> Column:
 
 
 def preview(c, n: int) -> Column:
-    """At most n signs in one line; an ellipsis marks what is left out."""
-    flat = F.regexp_replace(_column(c), r"\r?\n", " ")
-    return F.when(F.length(flat) > n, F.concat(F.rtrim(F.left(flat, F.lit(n))), F.lit("…"))).otherwise(flat)
+    """At most n signs, line feeds as spaces; an ellipsis marks what is left out."""
+    flat = F.translate(_column(c), "\n", " ")
+    return F.when(F.length(flat) > n, F.concat(F.left(flat, F.lit(n)), F.lit("…"))).otherwise(flat)
 
 
 def split_list(c) -> Column:
@@ -42,7 +44,7 @@ def summarize_list(c, n: int) -> Column:
 
 
 def straight_apostrophes(c) -> Column:
-    return F.translate(_column(c), "‘’ʼ", "'''")
+    return F.translate(_column(c), "‘’", "''")
 
 
 def indent_block(c, prefix: str) -> Column:
@@ -102,11 +104,18 @@ def book_link(book_id, base: str) -> Column:
 
 
 def title_like(c) -> Column:
-    """At most eight words, each a roman numeral, in capitals, capitalised or a joining word; no end of sentence, comma or semicolon."""
-    words = F.filter(F.split(single_line(c), r"[^\p{L}\p{N}'’.\-]+"), lambda w: w != "")
-    joins = F.array(*[F.lit(w) for w in CONNECTORS])
-    fit = F.forall(words, lambda w: w.rlike(r"^[IVXLCDM]+\.?$") | w.rlike(r"^[\p{Lu}\p{N}][\p{Lu}\p{N}'’.\-]*$") | w.rlike(r"^\p{Lu}") | F.array_contains(joins, F.lower(w)))
-    return (F.size(words) > 0) & (F.size(words) <= 8) & ~single_line(c).rlike(r"[.!?…][\"'”’)\]]*$") & ~_column(c).rlike("[,;]") & fit
+    """A line of one to eight words as titles have them, that ends no sentence and has no comma or semicolon.
+
+    Each word, without signs at its ends, is a roman numeral, in capitals, capitalised and else small, or a joining word.
+    """
+    flat = single_line(c)
+    words = F.filter(F.transform(F.split(flat, " "), lambda w: F.regexp_replace(w, r"""^[()\[\]{}"'“”‘’,;:\-]+|[()\[\]{}"'“”‘’,;:\-]+$""", "")), lambda w: w != "")
+
+    def fits(w: Column) -> Column:
+        plain = w.rlike(r"^[A-Za-z]+(?:['’][A-Za-z]+)*$")
+        return w.rlike(r"^(?i)[ivxlcdm]+$") | (w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}")) | (plain & (F.lower(w).isin(CONNECTORS) | w.rlike(r"^[A-Z][^A-Z]*$")))
+
+    return (F.size(words) >= 1) & (F.size(words) <= 8) & ~flat.rlike(r"""[.!?]["')\]]*$|[,;]""") & F.forall(words, fits)
 
 
 def opening_line(paragraphs) -> Column:
@@ -117,12 +126,35 @@ def opening_line(paragraphs) -> Column:
     return F.when((body > 2) | ((body == 2) & F.element_at(p, 1).endswith(":")), F.try_element_at(p, body.cast("int"))).otherwise(F.coalesce(F.try_element_at(p, F.lit(1)), F.lit("")))
 
 
-def search_word(c) -> Column:
-    """The first word of four letters or more that isn't too common, else the first word, else 'chapter'."""
-    words = F.regexp_extract_all(F.coalesce(_column(c), F.lit("")), F.lit(r"(\p{L}+)"), 1)
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    good = F.filter(words, lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, F.lower(w)))
-    return F.coalesce(F.try_element_at(good, F.lit(1)), F.try_element_at(words, F.lit(1)), F.lit("chapter"))
+def words_to_search(c) -> Column:
+    """(good, first): the first word of four letters or more that isn't too common, and the first word at all; null if there is none."""
+    words = F.regexp_extract_all(F.coalesce(_column(c), F.lit("")), F.lit(r"([A-Za-z]+(?:['’][A-Za-z]+)*)"), 1)
+    good = F.filter(words, lambda w: (F.length(w) >= 4) & ~F.lower(w).isin(STOPWORDS))
+    return F.struct(F.try_element_at(good, F.lit(1)).alias("good"), F.try_element_at(words, F.lit(1)).alias("first"))
+
+
+def dash_for_nothing(n) -> Column:
+    """A number with commas; a dash for null, zero and less."""
+    return F.when(_column(n) > 0, thousands(n)).otherwise(F.lit(NOTHING))
+
+
+def work_key(title, authors) -> Column:
+    """(title, author) by which works are told apart; null if either is empty."""
+    t, a = work_text(title), work_text(primary_author(authors))
+    return F.when((t != "") & (a != ""), F.struct(t.alias("title"), a.alias("author")))
+
+
+def toc_label(section) -> Column:
+    """The last part of a section path, indented by its depth."""
+    parts = F.split(_column(section), " / ")
+    return F.concat(F.repeat(F.lit("  "), F.size(parts) - 1), F.element_at(parts, -1))
+
+
+def expand_depth(expand: str) -> int:
+    """The number of levels that "1" to "4" or "all" stand for; raises ValueError for others."""
+    if expand not in ("1", "2", "3", "4", "all"):
+        raise ValueError(f"levels are 1 to 4 or all, not {expand!r}")
+    return 4 if expand == "all" else int(expand)
 
 
 def _unaccented() -> tuple[str, str]:

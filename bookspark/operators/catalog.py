@@ -57,16 +57,28 @@ def canonical_map(records: DataFrame) -> DataFrame:
     return keyed.withColumn("known", known).join(least, ["t", "a"], "left").select("id", F.when(F.col("known"), F.col("canonical_id")).otherwise(F.col("id")).alias("canonical_id")).distinct()
 
 
-def catalog(records: DataFrame, policy: Policy | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records kept, map of ids) under the policy."""
+def catalog(records: DataFrame, policy: Policy | None = None, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records kept, map of ids) under the policy. Of records of one id the first by `order` stays (as of a column that numbers arrivals)."""
     policy = policy or Policy()
-    kept = first_per_id(records.where(allowed(policy)))
+    kept = first_per_id(records.where(allowed(policy)), order)
     if policy.dedupe == "none":
         return kept, kept.select("id", F.col("id").alias("canonical_id"))
     links = canonical_map(kept)
     return kept.join(links.select(F.col("canonical_id").alias("id")).distinct(), "id", "left_semi"), links
 
 
+def canonical_records(wanted: DataFrame, links: DataFrame, kept: DataFrame) -> DataFrame:
+    """(request_id, record columns) of the requested ids (request_id): the record that stands for each; null columns for unknown ids."""
+    of = wanted.join(links.withColumnRenamed("id", "request_id"), "request_id", "left")
+    return of.join(kept.withColumn("canonical_id", F.col("id")), "canonical_id", "left").drop("canonical_id")
+
+
+def catalog_page(found: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` records found, in order of id, each with `total` matches and `remaining` ones that aren't shown."""
+    limit, total = max(limit, 0), found.count()
+    return found.orderBy("id").limit(limit).withColumns({"total": F.lit(total).cast("bigint"), "remaining": F.lit(max(total - limit, 0)).cast("bigint")})
+
+
 def _match(column: str, query: str) -> Column:
     c, words = F.lower(F.coalesce(column, F.lit(""))), query.lower().split()
     hit = c.contains(query.strip().lower())

@@ -3,24 +3,32 @@
 The index is two plain tables: postings (term, key, tf positions, length of the chunk), clustered by term so that a query
 reads only the row groups of its terms, and one row of corpus statistics. A query keeps the postings of its terms, brings
 those of a chunk together (the only shuffle, of matching postings alone) and evaluates the tree with array functions.
-Statistics are of all chunks, before filters. Two small rows come to the driver: the corpus's and the document frequencies.
+Statistics are of all chunks, before filters. Two small rows come to the driver: the corpus's and the document frequencies
+with the number of matching chunks; up to `FEW` of them are broadcast to the chunks, more are merged.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bookspark.functions.porter import stem
 from bookspark.functions.query import Near, Op, Phrase, auto_query, parse_query, phrase_query, phrases
 from bookspark.functions.text import tokens
+from bookspark.operators.durable import cut
+from bookspark.operators.layout import wide
 from bookspark.operators.store import in_section
+from bookspark.sources.tables import exists, move
 
 K1, B = 1.2, 0.75
+#: Bytes of a row group of the index; the most hits that are broadcast.
+ROW_GROUP, FEW = 4 << 20, 100_000
 KEY = ["book_id", "position", "id"]
 ORDERS = {"rank": [("score", False), ("book_id", True), ("position", True), ("id", True)], "first": [("book_id", True), ("position", True), ("id", True)], "last": [("book_id", False), ("position", False), ("id", False)]}
 
@@ -34,8 +42,9 @@ class Index:
     stemmed: bool = False
 
     def write(self, path: str) -> None:
-        """As parquet, sorted by term within ranges of terms."""
-        self.postings.repartitionByRange("term", "book_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        """As parquet, sorted by term within ranges of terms, in small row groups, so that the terms of a query are pushed down to few of them."""
+        by_term = self.postings.repartitionByRange(wide(self.postings.sparkSession), "term", "book_id").sortWithinPartitions("term", "book_id")
+        by_term.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/postings")
         self.stats.withColumn("stemmed", F.lit(self.stemmed)).write.mode("overwrite").parquet(f"{path}/stats")
 
     @staticmethod
@@ -43,6 +52,19 @@ class Index:
         stats = spark.read.parquet(f"{path}/stats")
         return Index(spark.read.parquet(f"{path}/postings"), stats.select("n", "mean_length"), bool(stats.first()["stemmed"]))
 
+    @staticmethod
+    def kept(chunks: DataFrame, path: str, stemmed: bool = False) -> Index:
+        """The index at `path`, written there first if it isn't: under another name, which is then changed, so no reader sees half of it.
+
+        `path` must be of one state of `chunks`, as `sources.tables.state` names it.
+        """
+        spark = chunks.sparkSession
+        if not exists(spark, path):
+            began = f"{path}-{uuid.uuid4().hex}"
+            build_index(chunks, stemmed).write(began)
+            move(spark, began, path)
+        return Index.read(spark, path)
+
 
 def build_index(chunks: DataFrame, stemmed: bool = False) -> Index:
     """The index of `content`. A null content counts as an empty chunk. Words are stemmed once each, not in every place."""
@@ -136,11 +158,13 @@ def _stemmed(tree):
     return Op(tree.name, _stemmed(tree.left), _stemmed(tree.right))
 
 
-def hits(index: Index, query: str, mode: str = "auto") -> DataFrame:
-    """(book_id, position, id, score) of the chunks that match, the greater score the better.
+def _beside(few: DataFrame, n: int, other: DataFrame, on: list[str]) -> DataFrame:
+    """`few`, of at most `n` rows, joined to the much larger `other`, which is shuffled only if `n` is too large to broadcast `few`."""
+    return other.join(F.broadcast(few), on) if n <= FEW else few.join(other.hint("shuffle_merge"), on)
 
-    `mode`: auto (each word a phrase), phrase (all one phrase) or raw (the query language). Raises QuerySyntaxError, and
-    ValueError if the query is blank.
+
+def _hits(index: Index, query: str, mode: str) -> tuple[DataFrame, int]:
+    """The hits, and the number of chunks that hold any of the terms: no less than that of the hits.
     """
     if not query.strip():
         raise ValueError("the query is blank")
@@ -151,12 +175,13 @@ def hits(index: Index, query: str, mode: str = "auto") -> DataFrame:
     exact = sorted({w for p in found for i, w in enumerate(p.words) if not (p.prefix and i == len(p.words) - 1)})
     tests = ([term.isin(exact)] if exact else []) + [term.startswith(p.words[-1]) for p in found if p.prefix and p.words]
     wanted = index.postings.where(_any(tests) if tests else F.lit(False))
+    # read once: the frequencies and the hits both come from what is kept
     by_chunk = wanted.groupBy(*KEY, "length").agg(F.collect_list(F.struct("term", "at")).alias("places"))
     starts = {p: f"s{i}" for i, p in enumerate(found)}
-    by_chunk = by_chunk.select(*KEY, "length", *[_starts(p, F.col("places")).alias(n) for p, n in starts.items()])
+    by_chunk = cut(by_chunk.select(*KEY, "length", *[_starts(p, F.col("places")).alias(n) for p, n in starts.items()]))
     stats = index.stats.first()
     n, mean = stats["n"], stats["mean_length"] or 1.0
-    df = by_chunk.agg(*[F.count_if(F.size(c) > 0).alias(c) for c in starts.values()]).first()
+    df = by_chunk.agg(F.count("*").alias("chunks"), *[F.count_if(F.size(c) > 0).alias(c) for c in starts.values()]).first()
     counted: dict[int, Column] = {}
     holds = _columns(tree, starts, counted)
     score = F.lit(0.0)
@@ -164,7 +189,16 @@ def hits(index: Index, query: str, mode: str = "auto") -> DataFrame:
         idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(n)) - df[starts[p]] + 0.5) / (F.lit(float(df[starts[p]])) + 0.5)))
         tf = counted[i].cast("double")
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(float(mean))))
-    return by_chunk.where(holds).select(*KEY, score.alias("score"))
+    return by_chunk.where(holds).select(*KEY, score.alias("score")), df["chunks"]
+
+
+def hits(index: Index, query: str, mode: str = "auto") -> DataFrame:
+    """(book_id, position, id, score) of the chunks that match, the greater score the better.
+
+    `mode`: auto (each word a phrase), phrase (all one phrase) or raw (the query language). Raises QuerySyntaxError, and
+    ValueError if the query is blank.
+    """
+    return _hits(index, query, mode)[0]
 
 
 def _like(column: str, value: str) -> Column:
@@ -187,7 +221,8 @@ def search(index: Index, chunks: DataFrame, books: DataFrame, query: str, mode:
     for column, value in (("authors", author), ("title", title), ("language", language), ("subjects", subject)):
         if value:
             b = b.where(_like(column, value))
-    return hits(index, query, mode).join(c, KEY).join(b, "book_id")
+    found, n = _hits(index, query, mode)
+    return _beside(found, n, c, KEY).join(b, "book_id")
 
 
 def ordered(found: DataFrame, order: str = "rank", limit: int | None = None) -> DataFrame:
@@ -198,6 +233,11 @@ def ordered(found: DataFrame, order: str = "rank", limit: int | None = None) ->
     return out if limit is None else out.limit(max(limit, 0))
 
 
+def ranked(found: DataFrame, order: str = "rank", limit: int = 10) -> DataFrame:
+    """The first `limit` hits in an order, with their `rank` from 1; these rows alone come together in one task."""
+    return ordered(found, order, limit).withColumn("rank", F.row_number().over(Window.orderBy(*[F.col(c).asc() if up else F.col(c).desc() for c, up in ORDERS[order]])))
+
+
 def page(found: DataFrame, order: str = "rank", limit: int = 10) -> tuple[list, int]:
     """(rows of the page, exact total); the total is counted only if the page is full."""
     limit = max(limit, 0)
@@ -208,7 +248,8 @@ def page(found: DataFrame, order: str = "rank", limit: int = 10) -> tuple[list,
 def passages(found: DataFrame, chunks: DataFrame, radius: int) -> DataFrame:
     """(book_id, position, passage) of each hit: the contents within `radius` positions, joined by blank lines."""
     wanted = found.select("book_id", F.col("position").alias("hit")).distinct().select("book_id", "hit", F.explode(F.sequence(F.col("hit") - radius, F.col("hit") + radius)).alias("position"))
-    near = chunks.select("book_id", "position", "id", "content").join(wanted, ["book_id", "position"])
+    wanted = cut(wanted)
+    near = _beside(wanted, wanted.count(), chunks.select("book_id", "position", "id", "content"), ["book_id", "position"])
     parts = near.groupBy("book_id", "hit").agg(F.sort_array(F.collect_list(F.struct("position", "id", "content"))).alias("c"))
     return parts.select("book_id", F.col("hit").alias("position"), F.array_join(F.transform("c", lambda x: x["content"]), "\n\n").alias("passage"))
 

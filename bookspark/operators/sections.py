@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bookspark.functions.text import OPENING_CANDIDATES, est_words, opening_line, read_time, section_path, single_line
+from bookspark.functions.text import OPENING_CANDIDATES, est_words, opening_line, read_time, section_path, single_line, words_to_search
 from bookspark.operators.scan import running_sum
 
 DIVS = ["div1", "div2", "div3", "div4"]
@@ -92,6 +92,25 @@ def section_numbers(sections: DataFrame) -> DataFrame:
     return sections.groupBy("book_id", "section").agg(F.max("section_number").alias("section_number"))
 
 
+def section_path_of(sections: DataFrame, book_id: int, number: int) -> str:
+    """The path of a book's section by its number; raises ValueError for numbers that the book hasn't."""
+    of = sections.where(F.col("book_id") == book_id)
+    found = of.where(F.col("section_number") == number).select("section").first()
+    if found is None:
+        n = of.count()
+        raise ValueError(f"section {number} is out of range (book {book_id} has {n} sections)" if n else f"book {book_id} has no sections")
+    return found["section"]
+
+
+def search_words(chunks: DataFrame) -> DataFrame:
+    """(book_id, word): a word of each book's text to try a search with: the first uncommon one, else the first, else "chapter"."""
+    order = F.struct("position", "id")
+    rows = chunks.where("kind = 'text'").select("book_id", order.alias("o"), words_to_search("content").alias("w"))
+    found = rows.groupBy("book_id").agg(F.min_by("w.good", F.when(F.col("w.good").isNotNull(), F.col("o"))).alias("good"), F.min_by("w.first", F.when(F.col("w.first").isNotNull(), F.col("o"))).alias("first"))
+    books = chunks.select("book_id").distinct()
+    return books.join(found, "book_id", "left").select("book_id", F.coalesce("good", "first", F.lit("chapter")).alias("word"))
+
+
 def with_visible_number(sections: DataFrame, depth: int) -> DataFrame:
     """(book_id, section_number, visible_number): the deepest section shown that begins the path of each, ties to the first."""
     rows = sections.withColumn("parts", F.split("section", " / "))

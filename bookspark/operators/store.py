@@ -67,6 +67,16 @@ def reconstructed_texts(chunks: DataFrame) -> DataFrame:
     return parts.select("book_id", F.array_join(F.transform("c", lambda x: x["content"]), "\n\n").alias("content"))
 
 
+def text_of(chunks: DataFrame, book_id: int) -> DataFrame:
+    """(book_id, content) of one book, no row if it has no chunks; the filter reaches the scan."""
+    return reconstructed_texts(chunks.where(F.col("book_id") == book_id))
+
+
+def book(books: DataFrame, book_id: int) -> DataFrame:
+    """The record of one id."""
+    return books.where(F.col("id") == book_id)
+
+
 def path_segments(path: str) -> list[str]:
     """The non-blank parts of a typed path; more than four are an error."""
     parts = [p for p in path.split("/") if p.strip()]
@@ -172,8 +182,3 @@ class Store:
             return False
         self.write(**{n: remove(self.read(n), ids, k) for n, k in self.TABLES.items() if self.read(n) is not None})
         return True
-
-
-def numbered(chunks: DataFrame) -> DataFrame:
-    """Chunks of one ingest with dense positions from 0 in each book, by (book_id, order)."""
-    return chunks.withColumn("position", (F.row_number().over(Window.partitionBy("book_id").orderBy("order")) - 1).cast("int"))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookspark.functions.text import preview, split_list
+from bookspark.functions.text import book_link, preview, single_line
 
 
 def envelope(command: str, data=None, warnings: list[str] | None = None, errors: list[str] | None = None) -> str:
@@ -21,10 +21,22 @@ def search_filters(author: str = "", title: str = "", language: str = "", subjec
     return {"author": author or None, "title": title or None, "language": language or None, "subject": subject or None, "book_id": ids, "kind": kind or "all", "section": section or None}
 
 
-def book_payloads(books: DataFrame) -> DataFrame:
-    """(id, payload) of books."""
-    lists = {c: split_list(c).alias(c) for c in ("authors", "subjects", "bookshelves")}
-    return books.select("id", F.to_json(F.struct(F.col("id").alias("book_id"), "title", lists["authors"], "language", lists["subjects"], "locc", lists["bookshelves"], "issued", "type")).alias("payload"))
+# The fields of a book and of a passage.
+BOOK_FIELDS = ["title", "authors", "language", "subjects", "locc", "bookshelves", "issued", "type"]
+PASSAGE_FIELDS = ["book_id", "title", "author", "section", "section_number", "position", "forward", "radius", "all", "link", "content"]
+WHOLE = {"ignoreNullFields": "false"}
+
+
+def book_payloads(books: DataFrame, base: str) -> DataFrame:
+    """(id, payload) of books: every field in one line, and the page of the book below `base`."""
+    fields = [single_line(F.coalesce(c, F.lit(""))).alias(c) for c in BOOK_FIELDS]
+    return books.select("id", F.to_json(F.struct("id", *fields, book_link("id", base).alias("link")), WHOLE).alias("payload"))
+
+
+def passage_payloads(passages: DataFrame, base: str) -> DataFrame:
+    """(book_id, position, payload) of rows with `book_id`, `content` and any other of PASSAGE_FIELDS; missing ones are null."""
+    given = {c: F.col(c) if c in passages.columns else F.lit(None).cast("string") for c in PASSAGE_FIELDS if c != "link"} | {"link": book_link("book_id", base)}
+    return passages.select("book_id", given["position"].alias("position"), F.to_json(F.struct(*[given[c].alias(c) for c in PASSAGE_FIELDS]), WHOLE).alias("payload"))
 
 
 def section_payloads(sections: DataFrame) -> DataFrame:

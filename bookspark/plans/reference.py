@@ -10,7 +10,8 @@ from bookspark.operators import catalog as C
 from bookspark.operators import fulltext as T
 from bookspark.operators import sections as S
 from bookspark.operators import store as R
-from bookspark.sources.tables import table
+from bookspark.operators.durable import checkpoint_dir
+from bookspark.sources.tables import state, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -46,6 +47,11 @@ _WORDS = "cast(round({c} / 5) as bigint)"
 _READ = "case when {c} <= 0 then 'n/a' when greatest(cast(round_even({c} / 250.0, 0) as bigint), 1) >= 60 then (greatest(cast(round_even({c} / 250.0, 0) as bigint), 1) // 60)::varchar || 'h ' || (greatest(cast(round_even({c} / 250.0, 0) as bigint), 1) % 60)::varchar || 'm' else greatest(cast(round_even({c} / 250.0, 0) as bigint), 1)::varchar || 'm' end"
 _NORM = "trim(regexp_replace(regexp_replace(lower(" + _LINE + r"), '\s*([.,;:!?])\s*', '\1', 'g'), '[\s.,;:!?\"''’”)\]}»]+$', ''))"
 
+_STRIP = r"regexp_replace(w, '^[()\[\]{}\x{22}\x{27}“”‘’,;:\-]+|[()\[\]{}\x{22}\x{27}“”‘’,;:\-]+$', '', 'g')"
+_FITS = r"(regexp_full_match(w, '(?i)[ivxlcdm]+') or (regexp_matches(w, '\p{Lu}') and not regexp_matches(w, '\p{Ll}')) or (regexp_full_match(w, '[A-Za-z]+(?:[\x{27}’][A-Za-z]+)*') and (lower(w) in ('a', 'an', 'and', 'as', 'at', 'by', 'for', 'from', 'in', 'of', 'on', 'or', 'the', 'to', 'with') or regexp_full_match(w, '[A-Z][^A-Z]*'))))"
+_TITLED = f"list_filter(list_transform(string_split({{c}}, ' '), lambda w: {_STRIP}), lambda w: w <> '')"
+_TITLE = rf"(len({_TITLED}) between 1 and 8 and not regexp_matches({{c}}, '[.!?][\x{{22}}\x{{27}})\]]*$|[,;]') and len(list_filter({_TITLED}, lambda w: not {_FITS})) = 0)"
+
 
 # ---- catalogue
 @query("select id, title, authors, language, subjects, locc, bookshelves, issued, type from books")
@@ -88,6 +94,42 @@ def catalog_search_multiword(s: SparkSession, d: str) -> DataFrame:
     return C.search_catalog(table(s, d, "books"), title="index mill", language="EN").select("id", "title")
 
 
+@query(
+    f"""with f as (select feed_id, try_cast(trim(text_no) as bigint) as id, type, issued, title, language, authors from catalog_feed where regexp_matches(trim(text_no), '^[+-]?\\d+$')),
+k as (select *, row_number() over (partition by id order by feed_id) as n from f where {_ALLOWED}) select id, feed_id, title, issued from k where n = 1"""
+)
+def catalog_first_delivery(s: SparkSession, d: str) -> DataFrame:
+    feed = table(s, d, "catalog_feed").withColumn("id", F.expr("try_cast(trim(text_no) as bigint)")).where("id is not null")
+    return C.catalog(feed, C.Policy(dedupe="none"), order="feed_id")[0].select("id", "feed_id", "title", "issued")
+
+
+@query(f"with m as ({_MAP}), w as (select distinct try_cast(trim(text_no) as bigint) as request_id from catalog_feed where regexp_matches(trim(text_no), '^[+-]?\\d+$')) select w.request_id, b.id, b.title from w left join m on m.id = w.request_id left join books b on b.id = m.canonical_id")
+def catalog_canonical_record(s: SparkSession, d: str) -> DataFrame:
+    kept, links = C.catalog(table(s, d, "books"))
+    wanted = table(s, d, "catalog_feed").select(F.expr("try_cast(trim(text_no) as bigint)").alias("request_id")).where("request_id is not null").distinct()
+    return C.canonical_records(wanted, links, kept).select("request_id", "id", "title")
+
+
+@query("with f as (select id, title from books where contains(lower(coalesce(title, '')), 'mill')) select id, title, (select count(*) from f) as total, greatest((select count(*) from f) - 10, 0) as remaining from f order by id limit 10")
+def catalog_page(s: SparkSession, d: str) -> DataFrame:
+    return C.catalog_page(C.search_catalog(table(s, d, "books"), title="mill"), 10).select("id", "title", "total", "remaining")
+
+
+@query("select id, title, authors from books where id = 11")
+def book_by_id(s: SparkSession, d: str) -> DataFrame:
+    return R.book(table(s, d, "books"), 11).select("id", "title", "authors")
+
+
+@query("select book_id, string_agg(content, E'\\n\\n' order by position, id) as content from chunks where book_id = 11 and content is not null group by 1")
+def text_by_id(s: SparkSession, d: str) -> DataFrame:
+    return R.text_of(table(s, d, "chunks"), 11)
+
+
+@query(f"select id, struct_extract(k, 't') as title, struct_extract(k, 'a') as author from (select id, case when {_of(_WORK, 'title')} <> '' and {_of(_WORK, _AUTHOR)} <> '' then struct_pack(t := {_of(_WORK, 'title')}, a := {_of(_WORK, _AUTHOR)}) end as k from books)")
+def work_key_pairs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "books").select("id", X.work_key("title", "authors").alias("k")).select("id", "k.title", "k.author")
+
+
 @query(
     f"""with m as ({_MAP}), w as (select row_number() over (order by feed_id) as request_pos, try_cast(trim(text_no) as bigint) as id from catalog_feed
 where regexp_matches(trim(text_no), '^[+-]?\\d+$')), j as (select w.request_pos, w.id, m.canonical_id from w left join m on m.id = w.id)
@@ -193,7 +235,13 @@ def section_summary(s: SparkSession, d: str) -> DataFrame:
     return S.section_rows(table(s, d, "chunks")).drop("opening_line")
 
 
-@query()
+_OPENINGS = f"""p as (select book_id, section_number, position, id, {_OWN} as line from n where kind = 'text' and section_number > 0 and {_OWN} <> ''),
+l as (select book_id, section_number, list(line order by position, id)[1:4] as p from p group by 1, 2),
+t as (select *, coalesce(list_position(list_transform(p, lambda x: {_of(_TITLE, 'x')}), false), 0) as body from l),
+op as (select book_id, section_number, case when body > 2 or (body = 2 and p[1] like '%:') then p[body] else p[1] end as opening_line from t)"""
+
+
+@query(f"with {_SECTIONS}, {_OPENINGS} select book_id, section_number, section, coalesce(opening_line, '') as opening_line from sec left join op using (book_id, section_number)")
 def section_openings(s: SparkSession, d: str) -> DataFrame:
     return S.section_rows(table(s, d, "chunks")).select("book_id", "section_number", "section", "opening_line")
 
@@ -232,11 +280,32 @@ def section_number_lookup(s: SparkSession, d: str) -> DataFrame:
     return S.section_numbers(S.section_rows(table(s, d, "chunks")))
 
 
-@query()
+@query(f"""with {_SECTIONS} select a.book_id, a.section_number, min(b.section_number) as visible_number from sec a join sec b on b.book_id = a.book_id and b.depth = 1 and b.section = string_split(a.section, ' / ')[1] group by 1, 2""")
 def visible_section_numbers(s: SparkSession, d: str) -> DataFrame:
     return S.with_visible_number(S.section_rows(table(s, d, "chunks")), 1)
 
 
+@query(f"""with {_SECTIONS} select section from sec where book_id = (select min(book_id) from sec where section_number = 2) and section_number = 2""")
+def section_path_by_number(s: SparkSession, d: str) -> DataFrame:
+    rows = S.section_rows(table(s, d, "chunks"))
+    book = rows.where("section_number = 2").agg(F.min("book_id").alias("b")).first()["b"]
+    return s.createDataFrame([(S.section_path_of(rows, book, 2),)], "section string")
+
+
+_WORDSQL = "regexp_extract_all(coalesce(content, ''), '[A-Za-z]+(?:[\\x{27}’][A-Za-z]+)*')"
+_STOPSQL = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+
+
+@query(
+    f"""with w as (select book_id, position, id, {_WORDSQL} as t from chunks where kind = 'text'),
+g as (select *, list_filter(t, lambda x: length(x) >= 4 and lower(x) not in ({_STOPSQL}))[1] as good, t[1] as one from w),
+a as (select book_id, arg_min(good, (position, id)) filter (good is not null) as good, arg_min(one, (position, id)) filter (one is not null) as one from g group by 1)
+select b.book_id, coalesce(good, one, 'chapter') as word from (select distinct book_id from chunks) b left join a on a.book_id = b.book_id"""
+)
+def search_words(s: SparkSession, d: str) -> DataFrame:
+    return S.search_words(table(s, d, "chunks"))
+
+
 @query("select book_id, id, position from (select *, row_number() over (partition by book_id order by position, id) as rn from chunks where position >= 3) where rn <= 5")
 def view_forward(s: SparkSession, d: str) -> DataFrame:
     chunks = table(s, d, "chunks")
@@ -249,7 +318,16 @@ def section_reading_window(s: SparkSession, d: str) -> DataFrame:
     return S.reading_window(chunks, chunks.select("book_id").distinct().withColumn("start", F.lit(3)), 4).select("book_id", "id", "position")
 
 
-@query()
+_FRONTSQL = ", ".join("'" + w.replace("'", "''") + "'" for w in S.FRONT_MATTER)
+
+
+@query(
+    f"""with h as (select c.book_id, c.position, lower({_OWN}) as flat, lower({_of(_LINE, "coalesce(b.title, '')")}) as title from chunks c left join books b on b.id = c.book_id where kind = 'heading'),
+s as (select book_id, min(position) as start from h where not (flat in ({_FRONTSQL}) or starts_with(flat, 'by ') or (length(flat) >= 3 and (starts_with(title, flat) or (length(title) >= 3 and starts_with(flat, title))))) group by 1),
+r as (select c.*, row_number() over (partition by c.book_id order by position, id) as n from chunks c left join s on s.book_id = c.book_id where position >= coalesce(start, 0)),
+f as (select book_id, min(position) as body from r where kind <> 'heading' group by 1)
+select r.book_id, id, position from r left join f on f.book_id = r.book_id where n <= 3 or position <= body"""
+)
 def opening_window(s: SparkSession, d: str) -> DataFrame:
     return S.opening_window(table(s, d, "chunks"), table(s, d, "books"), 3).select("book_id", "id", "position")
 
@@ -280,10 +358,15 @@ def _search_sql(leaves: list[str], where: str, tfs: list[str] | None = None, tai
     return f"with {_TOKENS}, lv as (select *, {p} from tok), df as (select {df}), found as (select book_id, position, id, round({score}, 4) as score from lv, st, df where {where}) select {tail or '* from found'}"
 
 
+def _index(s: SparkSession, d: str, stemmed: bool = False) -> T.Index:
+    """The index of the chunks in `d`, built by the first search in the shared folder and read by all others while the table stays as it is."""
+    folder = f"{checkpoint_dir(s)}/search/{state(s, f'{d}/chunks.parquet')}{'-stemmed' if stemmed else ''}"
+    return T.Index.kept(table(s, d, "chunks"), folder, stemmed)
+
+
 def _search(name: str, text: str, mode: str, sql: str) -> None:
     def run(s: SparkSession, d: str) -> DataFrame:
-        chunks = table(s, d, "chunks")
-        return T.hits(T.build_index(chunks), text, mode).select("book_id", "position", "id", F.round("score", 4).alias("score"))
+        return T.hits(_index(s, d), text, mode).select("book_id", "position", "id", F.round("score", 4).alias("score"))
 
     run.__name__ = name
     query(sql)(run)
@@ -301,17 +384,16 @@ _search("search_near", "NEAR(dark harbour, 5)", "raw", _search_sql(["dark", "har
 
 
 def _found(s: SparkSession, d: str, **filters) -> DataFrame:
-    chunks = table(s, d, "chunks")
-    return T.search(T.build_index(chunks), chunks, table(s, d, "books"), "harbour", **filters)
+    return T.search(_index(s, d), table(s, d, "chunks"), table(s, d, "books"), "harbour", **filters)
 
 
 _HARBOUR = _search_sql(["harbour"], "len(p0) > 0", None, "{}")
 _JOINED = "from found join chunks c using (book_id, position, id) join books b on b.id = found.book_id"
 
 
-@query(_HARBOUR.replace("{}", f"found.book_id, found.position, found.id, score {_JOINED} order by score desc, found.book_id, found.position, found.id limit 50"))
+@query(_HARBOUR.replace("{}", f"row_number() over (order by score desc, found.book_id, found.position, found.id) as rank, found.book_id, found.position, found.id, score {_JOINED} order by rank limit 50"))
 def search_bm25_rank(s: SparkSession, d: str) -> DataFrame:
-    return T.ordered(_found(s, d).withColumn("score", F.round("score", 4)), "rank", 50).select("book_id", "position", "id", "score")
+    return T.ranked(_found(s, d).withColumn("score", F.round("score", 4)), "rank", 50).select("rank", "book_id", "position", "id", "score")
 
 
 @query(_HARBOUR.replace("{}", f"found.book_id, found.position, found.id {_JOINED} order by found.book_id, found.position, found.id limit 50"))
@@ -334,6 +416,11 @@ def search_count(s: SparkSession, d: str) -> DataFrame:
     return _found(s, d).agg(F.count("*").alias("n"))
 
 
+@query(_HARBOUR.replace("{}", f"found.id, score {_JOINED} where found.book_id in (11, 12, 13)"))
+def search_book_ids(s: SparkSession, d: str) -> DataFrame:
+    return _found(s, d, book_ids=[11, 12, 13]).select("id", F.round("score", 4).alias("score"))
+
+
 _SECTION = f"list_transform({_PARTS}, lambda x: {_of(_NORM, 'x')})"
 
 
@@ -342,21 +429,24 @@ def search_section(s: SparkSession, d: str) -> DataFrame:
     return _found(s, d, section="chapter ii").select("id", F.round("score", 4).alias("score"))
 
 
+@query(_HARBOUR.replace("{}", f"count(*) as n from (select found.id, {_SECTION} as p {_JOINED}) where len(p) >= 1 and (p[1] = 'chapter ii' or starts_with(p[1], 'chapter ii '))"))
+def search_section_count(s: SparkSession, d: str) -> DataFrame:
+    return _found(s, d, section="chapter ii").agg(F.count("*").alias("n"))
+
+
 @query(_HARBOUR.replace("{}", "h.book_id, h.position, string_agg(c.content, E'\\n\\n' order by c.position, c.id) as passage from (select distinct book_id, position from found) h join chunks c on c.book_id = h.book_id and c.position between h.position - 1 and h.position + 1 group by 1, 2"))
 def search_context(s: SparkSession, d: str) -> DataFrame:
-    chunks = table(s, d, "chunks")
-    return T.passages(T.hits(T.build_index(chunks), "harbour"), chunks, 1)
+    return T.passages(T.hits(_index(s, d), "harbour"), table(s, d, "chunks"), 1)
 
 
 @query()
 def porter_search(s: SparkSession, d: str) -> DataFrame:
-    chunks = table(s, d, "chunks")
-    return T.hits(T.build_index(chunks, stemmed=True), "hesitates harbours").select("book_id", "position", "id", F.round("score", 4).alias("score"))
+    return T.hits(_index(s, d, stemmed=True), "hesitates harbours").select("book_id", "position", "id", F.round("score", 4).alias("score"))
 
 
 @query("with " + _TOKENS + " select u as term, count(*) as df from (select id, unnest(list_distinct(t)) as u from tok) group by 1")
 def index_vocabulary(s: SparkSession, d: str) -> DataFrame:
-    return T.build_index(table(s, d, "chunks")).postings.groupBy("term").agg(F.count("*").alias("df"))
+    return _index(s, d).postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
 # ---- pages, ingest, answers
@@ -382,11 +472,23 @@ def page_candidates(s: SparkSession, d: str) -> DataFrame:
     return candidates(table(s, d, "books"), [Source("mirror", "https://mirror.example/{id}.html", 1), Source("zip", "https://main.example/{id}-h.zip", 2)])
 
 
-@query()
+BASE = "https://books.example/ebooks"
+_FIELDS = ", ".join(f"{c} := {_of(_LINE, f"coalesce({c}, '')")}" for c in ("title", "authors", "language", "subjects", "locc", "bookshelves", "issued", "type"))
+
+
+@query(f"select id, cast(to_json(struct_pack(id := id, {_FIELDS}, link := '{BASE}/' || id::varchar)) as varchar) as payload from books")
 def book_payloads(s: SparkSession, d: str) -> DataFrame:
     from bookspark.plans.payload import book_payloads as payloads
 
-    return payloads(table(s, d, "books"))
+    return payloads(table(s, d, "books"), BASE)
+
+
+@query(f"select c.book_id, cast(c.position as bigint) as position, cast(to_json(struct_pack(book_id := c.book_id, title := null, author := null, section := {_PATH}, section_number := null, position := cast(c.position as bigint), forward := null, radius := null, \"all\" := null, link := '{BASE}/' || c.book_id::varchar, content := c.content)) as varchar) as payload from chunks c where kind = 'heading'")
+def passage_payloads(s: SparkSession, d: str) -> DataFrame:
+    from bookspark.plans.payload import passage_payloads as payloads
+
+    heads = table(s, d, "chunks").where("kind = 'heading'")
+    return payloads(heads.select("book_id", F.col("position").cast("bigint").alias("position"), X.section_path(*S.DIVS).alias("section"), "content"), BASE)
 
 
 @query()
@@ -396,12 +498,12 @@ def section_payloads(s: SparkSession, d: str) -> DataFrame:
     return payloads(S.section_rows(table(s, d, "chunks")))
 
 
-@query("select id, case when length(replace(replace(content, E'\\r\\n', ' '), E'\\n', ' ')) > 60 then rtrim(left(replace(replace(content, E'\\r\\n', ' '), E'\\n', ' '), 60), ' ') || '…' else replace(replace(content, E'\\r\\n', ' '), E'\\n', ' ') end as shown from chunks")
+@query("select id, case when length(content) > 60 then replace(left(content, 60), chr(10), ' ') || '…' else replace(content, chr(10), ' ') end as shown from chunks")
 def previews(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunks").select("id", X.preview("content", 60).alias("shown"))
 
 
-@query()
+@query(f"select id, {_of(_TITLE, _of(_LINE, 'content'))} as title_like from chunks")
 def title_like_headings(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunks").select("id", X.title_like("content").alias("title_like"))
 

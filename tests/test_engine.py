@@ -153,13 +153,13 @@ def test_catalog(spark, tmp_path):
 def test_scalar_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert one(X.read_time(F.lit(625))) == "2m" and one(X.read_time(F.lit(20_000))) == "1h 20m"
-    assert one(X.preview(F.lit("abc\ndef"), 4)) == "abc…"
+    assert one(X.preview(F.lit("abc\ndef"), 4)) == "abc …"
     assert one(X.split_list(F.lit(" a ;; b  c;"))) == ["a", "b c"]
     assert one(X.summarize_list(F.lit("a;b;c"), 2)) == "a; b; +1 more"
     assert one(X.primary_author(F.lit("Reed, A. (x) [Editor]; B"))) == "Reed, A."
     assert one(X.normal_segment(F.lit("  The  End , of it !?”"))) == "the end,of it"
     assert one(X.opening_line(F.array(F.lit("THE BELL"), F.lit("Chapter I"), F.lit("It rang out, once.")))) == "It rang out, once."
-    assert one(X.search_word(F.lit("That the lanterns"))) == "lanterns"
+    assert one(X.words_to_search(F.lit("After the lanterns"))).asDict() == {"good": "lanterns", "first": "After"} and one(X.words_to_search(F.lit("1 2")))["first"] is None
     assert one(X.tokens(F.lit("Été, näive!"))) == ["ete", "naive"]
     assert one(X.title_like(F.lit("The Bells of York"))) is True and one(X.title_like(F.lit("He ran."))) is False
 
