@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookspark.html import headings as H
+from bookspark.html import passes as P
 from bookspark.html.dom import HEADINGS, Node, parse
 from bookspark.operators.layout import spread
 
-CHUNKER_VERSION = 1
+CHUNKER_VERSION = 2
 #: Least paragraphs of a text without any section, least letters of text before the first.
 FLAT, OPENING = 10, 20
 _MARK = re.compile(r"\*{3}\s*(START|END) OF (?:THE|THIS)\b[^*]*EBOOK", re.I)
+_NUMBER = re.compile(r"\[?\d+\]?\.?")
 SCHEMA = "position int, div1 string, div2 string, div3 string, div4 string, content string, kind string, char_count int"
 
 
@@ -93,10 +95,17 @@ class Document:
             return False
         if any("toc" in c or "contents" in c for c in n.classes()):
             return True
-        rest = n.text()
+        rest = text = n.text()
         for x in links:
             rest = rest.replace(x.text(), "", 1)
-        return not re.search(r"[^\W\d_]{2}", rest)
+        if not re.search(r"[^\W\d_]{2}", rest):
+            return True
+        if len(links) > 2 and re.search(r"chapters?:", text, re.I):
+            return True  # an index in one line: "Chapter: I., II., III."
+        # one link that names a division, its subtitle beside it
+        name, beside = H.clean(links[0].text()), rest.strip(" -—:;,.")
+        divides = bool(H.keyword(name)) or H.standing(name)
+        return len(links) == 1 and divides and text.startswith(links[0].text()) and not H.keyword(beside) and not H.standing(beside)
 
     def text_of(self, n: Node) -> str:
         return n.lines() if n.tag == "pre" else n.text()
@@ -113,16 +122,23 @@ def _toc_sections(d: Document) -> list[Section]:
     """Links of the contents, followed to their headings; each heading once."""
     places = [h.at for h in d.heads]
     out: dict[int, Section] = {}
+    # links that are page numbers count if at least half of them lie in headings
+    paged = [a for x in d.links if re.fullmatch(r"[Pp]age[_-]?\d+", x.attrs["href"][1:]) and _NUMBER.fullmatch(H.clean(x.text())) and (a := d.anchors.get(x.attrs["href"][1:]))]
+    by_page = bool(paged) and 2 * sum(any(a.tag in HEADINGS for a in x.ancestors()) for x in paged) >= len(paged)
     for link in d.links:
         if link.parent is not None and any(c.startswith(("footnote", "citation", "fnanchor")) for a in [link, *link.ancestors()] for c in a.classes()):
             continue
         block = next((a for a in link.ancestors() if id(a) in d.tables), None)
         listed = block is not None or any(a.tag in ("tr", "ul", "ol", "nav") or any("toc" in c or "contents" in c for c in a.classes()) for a in link.ancestors())
         entry = H.clean(link.text())
-        if not listed or not H.structural(entry) or re.fullmatch(r"\[?\d+\]?\.?", entry):
-            continue
         target = d.anchors.get(link.attrs["href"][1:])
-        if target is None:
+        if target is None or not listed:
+            continue
+        if _NUMBER.fullmatch(entry):
+            if not by_page or not (over := next((a for a in target.ancestors() if a.tag in HEADINGS), None)):
+                continue
+            entry = d.heading(over)
+        if not H.structural(entry):
             continue
         head = target if target.tag in HEADINGS else next((a for a in target.ancestors() if a.tag in HEADINGS), None)
         if head is None:
@@ -135,7 +151,7 @@ def _toc_sections(d: Document) -> list[Section]:
             out.setdefault(head.at, Section(head.at, head.end, text, H.level(text, strong), int(head.tag[1])))
         elif target.at not in out and target.tag in ("p", "div", "a"):
             out[target.at] = Section(target.at, target.at, entry, H.level(entry, strong), 2)
-    return [out[k] for k in sorted(out)]
+    return P.before_apparatus([out[k] for k in sorted(out)])
 
 
 def _heading_sections(d: Document) -> list[Section]:
@@ -145,7 +161,7 @@ def _heading_sections(d: Document) -> list[Section]:
     if play:
         rows += [Section(b.at, b.end, H.clean(t), H.level(t), 7) for b in d.blocks if id(b) not in d.tables and len(t := b.text()) <= 80 and H.keyword(t) in ("act", "scene") and H.bare(re.split(r"[.:—]", t)[0])]
         rows.sort(key=lambda r: r.at)
-    return rows
+    return P.dividing(d, P.without_printed_contents(rows))
 
 
 def _paragraph_sections(d: Document) -> list[Section]:
@@ -159,9 +175,12 @@ def _paragraph_sections(d: Document) -> list[Section]:
     return out
 
 
+# A table of contents of at most so many entries is too thin beside more than so many times as many headings.
+THIN = ((5, 3), (10, 5), (float("inf"), 10))
+
+
 def _sparse(toc: list[Section], heads: list[Section]) -> bool:
-    n, m = len(toc), len(heads)
-    return m > 3 * n and (n <= 5 or (n <= 10 and m > 5 * n) or m > 10 * n)
+    return any(len(toc) <= most and len(heads) > times * len(toc) for most, times in THIN)
 
 
 def _refined(d: Document, toc: list[Section], heads: list[Section]) -> list[Section]:
@@ -178,29 +197,44 @@ def _refined(d: Document, toc: list[Section], heads: list[Section]) -> list[Sect
     return sorted([*toc, *extra], key=lambda s: s.at)
 
 
-def _modal_rank(sections: list[Section]) -> dict[str, int]:
-    by: dict[str, Counter] = {}
-    for s in sections:
-        if w := H.keyword(s.text):
-            by.setdefault(w, Counter())[s.rank] += 1
-    return {w: c.most_common(1)[0][0] for w, c in by.items()}
+def _peers(sections: list[Section]) -> set[str]:
+    """The one word of broad divisions that stands in the tag that nearly all headings have: it divides nothing from above."""
+    ranks = Counter(s.rank for s in sections if s.rank < 7)
+    words = {w: Counter(s.rank for s in sections if s.rank < 7 and H.keyword(s.text) == w) for w in map(H.keyword, (s.text for s in sections)) if w in H.BROAD and w not in ("act", "induction", "epilogue")}
+    if not ranks or len(words) != 1:
+        return set()
+    [(rank, n)] = ranks.most_common(1)
+    return {w for w, c in words.items() if len(sections) > 2 and n >= 0.8 * sum(ranks.values()) and c.most_common(1)[0][0] == rank}
+
+
+def _nest(sections: list[Section], listed: bool) -> list[Section]:
+    """Levels: the works of a collection, in each the broad divisions by their width, others one below the division they lie in, deeper tags deeper.
+
+    `listed`: the sections are those of a table of contents, whose words for divisions mean what they say.
+    """
+    works = P.collection(sections)
+    flat = set() if listed else _peers(sections)
+    if not works:
+        return _nest_work(sections, flat)
+    out = _nest_work(sections[: works[0]], flat)
+    for i, end in zip(works, [*works[1:], len(sections)]):
+        out += [replace(sections[i], level=1), *[replace(s, level=min(s.level + 1, 4)) for s in _nest_work(sections[i + 1 : end], flat)]]
+    return out
 
 
-def _nest(sections: list[Section]) -> list[Section]:
-    """Levels: broad divisions by their width, others one below the division they lie in, deeper tags deeper."""
+def _nest_work(sections: list[Section], flat: set[str]) -> list[Section]:
     out: list[Section] = []
-    widths = sorted({H.BROAD[H.keyword(s.text)] for s in sections if H.keyword(s.text) in H.BROAD})
-    modal = _modal_rank(sections)
-    # acts and books that stand at the rank of all else divide nothing from above
-    flat = {w for w in modal if w in H.BROAD and len(modal) == 1 and len(sections) > 2}
+    broad = H.BROAD.keys() - flat
+    widths = sorted({H.BROAD[w] for w in map(H.keyword, (s.text for s in sections)) if w in broad})
     stack: list[tuple[int, int, str]] = []  # (level, rank, keyword)
     for s in sections:
         w = H.keyword(s.text)
-        if w in H.BROAD and w not in flat:
+        if w in broad:
             lev = widths.index(H.BROAD[w]) + 1
             stack = [x for x in stack if x[0] < lev]
         else:
-            while stack and not (stack[-1][2] in H.BROAD and w not in H.BROAD or (stack[-1][1] < s.rank and s.rank <= 6)):
+            # a division holds what isn't larger than itself; a heading in a larger tag than the one before isn't under it
+            while stack and not (stack[-1][2] in broad and stack[-1][1] <= s.rank or (stack[-1][1] < s.rank and s.rank <= 6)):
                 stack.pop()
             if H.front_matter(s.text) and stack and stack[-1][1] >= s.rank:
                 stack = []
@@ -214,17 +248,16 @@ def _nest(sections: list[Section]) -> list[Section]:
 
 
 def _merged(d: Document, sections: list[Section]) -> list[Section]:
-    """A bare number and the heading right after it are one; of two equal headings in a row without text between, one stays."""
+    """A bare number, or a bare division that no peers of the next heading follow, and the heading right after it are one."""
     out: list[Section] = []
-    for s in sections:
-        if out and not d.between(out[-1].end, s.at):
-            last = out[-1]
-            if H.bare(last.text) and H.keyword(last.text) not in H.BROAD and not H.keyword(s.text) and not H.bare(s.text) and s.rank >= last.rank and not H.front_matter(s.text):
+    for i, s in enumerate(sections):
+        last = out[-1] if out else None
+        if last is not None and last is sections[i - 1] and H.bare(last.text) and not d.between(last.end, s.at) and not H.bare(s.text) and s.rank >= last.rank and not H.front_matter(s.text) and (tail := H.subtitle(s.text)):
+            broad = H.keyword(last.text) in H.BROAD
+            peers = i + 1 < len(sections) and sections[i + 1].rank == s.rank and not H.keyword(sections[i + 1].text)
+            if not (broad and (peers or H.enumerated(tail) or s.rank == last.rank)):
                 out[-1] = replace(last, text=f"{last.text} {s.text}", end=max(s.end, last.end))
                 continue
-            if H.key(last.text) == H.key(s.text) and not (len(out) > 1 and H.key(out[-2].text) == H.key(s.text)):
-                out[-1] = replace(s, level=min(s.level, last.level), at=last.at)
-                continue
         out.append(s)
     return out
 
@@ -241,14 +274,17 @@ def chunk_html(html: str) -> list[tuple[int, str, str, str, str, str, str, int]]
     """Rows of SCHEMA in order: dense positions from 0, headings and paragraphs with their divisions. No content gives none."""
     d = Document(html or "")
     toc, heads = _toc_sections(d), _heading_sections(d)
-    if toc and not _sparse(toc, heads):
+    listed = bool(toc) and not _sparse(toc, heads)
+    if listed:
         sections = _refined(d, toc, heads)
     else:
         sections = heads
         if len(sections) <= 2 and len(other := _paragraph_sections(d)) > 3 * max(len(sections), 1):
             sections = other
-    sections = sections or _paragraph_sections(d)
-    sections = _nest(_merged(d, _without_title_page(d, sections)))
+    sections = P.without_printed_contents(sections or _paragraph_sections(d))
+    sections = P.without_orphans(P.unwrapped(_nest(_merged(d, _without_title_page(d, sections)), listed)))
+    sections, used = P.with_descriptions(d, sections)
+    sections = P.without_empty_titles(d, P.without_repeats(d, sections))
     low = min((s.level for s in sections), default=1)
     sections = [replace(s, level=min(s.level - low + 1, 4)) for s in sections]
     out: list[tuple] = []
@@ -272,7 +308,8 @@ def chunk_html(html: str) -> list[tuple[int, str, str, str, str, str, str, int]]
         if i + 1 == len(sections):
             until = next((h.at for h in d.heads if h.at > s.end and re.match(r"(?i)(?:foot|end)?notes?\b|index\b|transcriber", d.heading(h))), until)
         for b in d.between(s.end, until):
-            give(d.text_of(b), "text")
+            if b.at not in used:
+                give(d.text_of(b), "text")
     return out
 
 

@@ -16,6 +16,11 @@ NOT_STRUCTURE = re.compile(
     r"^(?:(?:table of )?contents\.?|index|list of (?:illustrations|plates|maps|tables)|illustrations?|plates?|page \w+|by\b.*|(?:translated|edited|illustrated|written|compiled) by\b.*|the end\.?|finis\.?|end of .*|footnotes?:?|notes?:?|endnotes?:?|transcriber.?s? notes?:?.*|continued\.?|copyright.*|(?:london|new york|boston|edinburgh|paris|philadelphia)\b.*|\W*|\d{4}\.?|(?:printed|published) (?:by|in)\b.*|colophon|errata|advertisements?|.*\b(?:publishers?|printers?|& co\.?|and company|press|limited|ltd\.?)\W*)$",
     re.I,
 )
+# Headings that stand for themselves, of plays, of front matter that may be a stub, of an editor's gaps.
+STANDING = re.compile(r"\bEPILOGUE\b|\bPROLOGUE\b|\bAPPENDIX\b|\bINDUCTION\b", re.I)
+DRAMATIC = re.compile(r"\b(?:act|scene|prologue|epilogue|tragedy|comedy)\b", re.I)
+OPENING = re.compile(r"^(?:preface|prefatory\b|introduction|introductory note|prelude|prologue\b|note\b|note to\b|letter\b|a letter from\b|the publisher to the reader\b|before the curtain\b|etymology\b|extracts\b|some commendatory verses\b)", re.I)
+PLACEHOLDER = re.compile(r"(?:\[\s*(?:not\b|omitted\b|wanting\b)|\bnot in early editions\b)", re.I)
 ROMAN = r"[ivxlcdm]+"
 _NUMBER = rf"(?:{ROMAN}|\d+|(?:{'|'.join(NUMBERS)})(?:[- ](?:{'|'.join(NUMBERS)}))*|(?:the )?(?:{'|'.join(ORDINALS)})(?: and last)?)"
 _WORDS = "|".join([*BROAD, *NARROW, *ALIASES])
@@ -74,3 +79,59 @@ def matches(entry: str, heading: str) -> bool:
     if not a or not b:
         return False
     return a == b or (min(len(a), len(b)) >= 6 and (a in b or b in a)) or (min(len(a), len(b)) >= 3 and (a.startswith(b) or b.startswith(a)) and keyword(entry) == keyword(heading) != "")
+
+
+def standing(text: str) -> bool:
+    return bool(STANDING.search(text))
+
+
+def dramatic(text: str) -> bool:
+    return bool(DRAMATIC.search(text))
+
+
+def opening(text: str) -> bool:
+    return bool(OPENING.match(text))
+
+
+def placeholder(text: str) -> bool:
+    return bool(PLACEHOLDER.search(text))
+
+
+def plain_number(text: str) -> bool:
+    return bool(re.fullmatch(rf"(?:{ROMAN}|\d+)\.?", text.strip(), re.I))
+
+
+def enumerated(text: str) -> bool:
+    """Begins with a number of its own, as "IV. The Mill"."""
+    return bool(re.match(rf"(?:{ROMAN}|\d+)[.)]?\s+\S", text.strip(), re.I))
+
+
+def capitals(text: str, most: int) -> bool:
+    """One to `most` words in capitals, without a keyword."""
+    words = [w for w in text.split() if re.search(r"[^\W\d_]", w)]
+    return 1 <= len(words) <= most and text == text.upper() and not keyword(text)
+
+
+def speakers(text: str) -> bool:
+    """Several names in capitals with hyphens between, as over a dialogue."""
+    parts = [p.strip(" .,:;!?()[]") for p in text.split(" - ")]
+    return len(parts) > 1 and not keyword(text) and not standing(text) and all(capitals(p, 5) for p in parts)
+
+
+def title_like(text: str) -> bool:
+    """A title of a work or chapter in words of its own."""
+    return structural(text) and not keyword(text) and not standing(text) and not speakers(text)
+
+
+def ignorable(text: str, rank: int) -> bool:
+    """A column label "CHAP.", a synopsis, a numbered line among small headings, or several numbered items in one."""
+    t = text.strip()
+    label = re.fullmatch(r"(?:chap(?:ters?)?)\.?", t, re.I) or re.match(r"synopsis of\b", t, re.I)
+    small = rank >= 4 and re.match(rf"(?:{ROMAN}|\d+)\.\s+\S", t, re.I)
+    return bool(label or small) or len(re.findall(rf"(?:^|\s)(?:{ROMAN}|\d+)\.\s+\S", t, re.I)) >= 2
+
+
+def subtitle(text: str) -> str:
+    """A heading as the continuation of a bare one, '' if it can't be: no division, speakers or apparatus of its own."""
+    t = " ".join(re.sub(r"\s+synopsis of\b.*$", "", text, flags=re.I).strip(" .,:;[]()-").split())
+    return "" if not structural(t) or keyword(t) or standing(t) or speakers(t) or re.match(r"(?:a\s+)?notes?\b", t, re.I) else t

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bookspark.functions import text as X
 from bookspark.operators import catalog as C
@@ -11,6 +12,7 @@ from bookspark.operators import fulltext as T
 from bookspark.operators import sections as S
 from bookspark.operators import store as R
 from bookspark.operators.durable import checkpoint_dir
+from bookspark.plans.samples import PAGES
 from bookspark.sources.tables import state, table
 
 QUERIES: dict = {}
@@ -454,8 +456,24 @@ def index_vocabulary(s: SparkSession, d: str) -> DataFrame:
 def html_chunks(s: SparkSession, d: str) -> DataFrame:
     from bookspark.html.chunker import chunk_books
 
-    pages = table(s, d, "texts").where(F.lower("content").contains("<html"))
-    return chunk_books(pages, "book_id", "content")
+    return chunk_books(table(s, d, "texts"), "book_id", "content")
+
+
+def _rules_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [f"({quoted(name)}, {i}, {quoted(path)})" for name, (_, want) in PAGES.items() for i, path in enumerate(want, 1)]
+    return f"select * from (values {', '.join(rows)}) as t(rule, n, path)"
+
+
+@query(_rules_sql())
+def chunker_rules(s: SparkSession, d: str) -> DataFrame:
+    """Headings of the sample pages of each rule of the chunker, against the rows that the rules ask for."""
+    from bookspark.html.chunker import chunk_books
+
+    pages = s.createDataFrame([(name, page) for name, (page, _) in PAGES.items()], "rule string, html string")
+    heads = chunk_books(pages, "rule").where("kind = 'heading'").withColumn("path", X.section_path(*S.DIVS))
+    order = Window.partitionBy("rule").orderBy("position")
+    return heads.select("rule", F.row_number().over(order).alias("n"), "path")
 
 
 @query("select b.id, case when coalesce(t.chunker_version, case when t.book_id is null then null else 1 end) = 3 then 'skip' when t.book_id is not null then 'reprocess' else 'add' end as action from books b left join texts t on t.book_id = b.id")
