@@ -6,9 +6,9 @@ two-part code: the dialect, then each value. A value is coded either by its numb
 The shares are counted over the whole table, first of a plain parse, then of the cheapest parses; each field is at last
 parsed by its own cheapest dialect.
 
-Every value that occurs twice is in the dictionary. Only two small tables leave the executors: forms (a bounded set, see
-`form`) and values that make up at least 1 / 2**DICTIONARY_BITS of all values of their column, at most 2**DICTIONARY_BITS
-per column whatever the size of the data. The counts of rarer values stay a distributed table, which is joined to the
+Every value that occurs twice is in the dictionary. Only two small tables leave the executors: the forms and the values
+that make up at least 1 / 2**DICTIONARY_BITS of all values of their column, at most 2**DICTIONARY_BITS of either per column
+whatever the size of the data. A rarer form costs as much as one at that bound, and a little more. The counts of rarer values stay a distributed table, which is joined to the
 values of all parses of each different text, so the bound decides how a count travels and not what a value costs.
 """
 
@@ -44,12 +44,13 @@ Dialect = tuple[tuple[str, ...], str]
 
 
 def form(value: str) -> str:
-    """The outline of a value: at most some thousands of different ones, as each part is one of a few marks.
+    """The outline of a value: its first ten marks, each one of some twenty.
 
-    Words become W (capital), U (capitals), w (small), I (initial); a few joining words stay, years become Y; runs are cut at ten marks.
+    Words become W (capital), U (capitals), w (small), I (initial); a few joining words stay, years become Y; marks that are equal in a row count once.
     """
     out = []
-    for x in re.findall(r"\d{3,4}|\d+|[^\W\d_]+\.?|\S", value[:400]):
+    for m in re.finditer(r"\d{3,4}|\d+|[^\W\d_]+\.?|\S", value):
+        x = m[0]
         if x[0].isdigit():
             m = "Y" if len(x) > 2 else "d"
         elif x[0].isalpha():
@@ -105,7 +106,7 @@ def dialects(raw: str) -> list[Dialect]:
     """The dialects that could have written `raw`, the plainest first."""
     text = raw.strip()
     there = [n for n, p in STRONG.items() if re.search(p, text) and not (n == "/" and not re.search(r"(?<!\s)/|/(?!\s)", text))]
-    sets = [s for k in range(len(there) + 1) for s in itertools.combinations(there, k)] if len(there) < 6 else [(), *[(n,) for n in there], tuple(there)]
+    sets = [s for k in range(len(there) + 1) for s in itertools.combinations(there, k)]
     out: list[Dialect] = []
     for quotes in ["", '"'] if '"' in text else [""]:
         out += [(s, quotes) for s in sets]
@@ -131,7 +132,7 @@ class Code:
     def __init__(self, values: dict[str, int], forms: dict[str, int], total: int):
         self.values, self.total = {v: -math.log2(n / total) for v, n in values.items()}, total
         every = sum(forms.values()) + len(forms) + 1
-        self.forms, self.rare = {f: -math.log2(n / every) for f, n in forms.items()}, math.log2(every)
+        self.forms, self.rare = {f: -math.log2(n / every) for f, n in forms.items()}, min(math.log2(every), DICTIONARY_BITS + 1.0)
 
     def value(self, v: str, rare: dict[str, int]) -> float:
         spelt = self.forms.get(form(v), self.rare + 4) + LETTER * len(v) + 2 + sum(STRAY.get(c, 0) for c in v)
@@ -186,12 +187,12 @@ def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
                 yield pd.DataFrame([(i, f, v) for i, f, t in zip(b["id"], b["field"], b["raw"]) for v in code[f].unknown(t)], columns=["id", "field", "item"])
 
         numbered = cut(texts.select(F.monotonically_increasing_id().alias("id"), "field", "raw"))
-        met = numbered.mapInPandas(each, "id bigint, field string, item string").join(rare, ["field", "item"])
+        met = numbered.mapInPandas(each, "id bigint, field string, item string").join(rare.hint("shuffle_merge"), ["field", "item"])
         met = met.groupBy("id").agg(F.collect_list(F.struct("item", "n")).alias("met"))
-        return numbered.join(met, "id").select("field", "raw", F.col("met.item").alias("items"), F.col("met.n").alias("counts"))
+        return numbered.join(met.hint("shuffle_merge"), "id").select("field", "raw", F.col("met.item").alias("items"), F.col("met.n").alias("counts"))
 
     def with_known(df: DataFrame, known: DataFrame | None) -> DataFrame:
-        return df.select("*", *nothing) if known is None else df.join(known, ["field", "raw"], "left")
+        return df.select("*", *nothing) if known is None else df.join(known.hint("shuffle_merge"), ["field", "raw"], "left")
 
     def counts(code: dict[str, Code] | None, rare: DataFrame | None) -> tuple[dict[str, Code], DataFrame | None]:
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,11 +207,11 @@ def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
         items = cut(parsed.mapInPandas(each, "field string, item string, form string, n bigint").groupBy("field", "item", "form").agg(F.sum("n").alias("n")))
         totals = {r["field"]: r["n"] for r in items.groupBy("field").agg(F.sum("n").alias("n")).collect()}
         forms: dict[str, dict[str, int]] = {f: {} for f in totals}
-        for r in items.groupBy("field", "form").agg(F.sum("n").alias("n")).where("n > 1").collect():
-            forms[r["field"]][r["form"]] = r["n"]
         values: dict[str, dict[str, int]] = {f: {} for f in totals}
         bounds = {f: max(2, n >> DICTIONARY_BITS) for f, n in totals.items()}
         least = F.coalesce(*[F.when(F.col("field") == f, F.lit(n)) for f, n in bounds.items()], F.lit(2))
+        for r in items.groupBy("field", "form").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect():
+            forms[r["field"]][r["form"]] = r["n"]
         for r in items.where(F.col("n") >= least).collect():
             values[r["field"]][r["item"]] = r["n"]
         # below the bound and seen twice: only in tables so large that the bound is above two
