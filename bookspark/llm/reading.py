@@ -13,6 +13,8 @@ fine bins of t, all of them.
 
 from __future__ import annotations
 
+import itertools
+import logging
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from bookspark.operators.durable import cut
 from bookspark.operators.layout import spread
 
-SHARE, PASSES, RIDGE, PRIOR, BINS = 0.004, 9, 5.0, 0.25, 4000
+log = logging.getLogger(__name__)
+SHARE, PASSES, TOLERANCE, RIDGE, PRIOR, BINS = 0.004, 9, 0.01, 5.0, 0.25, 4000
 GRID = np.linspace(-3, 3, 61)
 # Joining words of English, and the least share of them in an English text.
 JOINING = frozenset("the a an of and was it in by he she they we had that which to with not his her its were no from but who at for is as on be this have i you so".split())
@@ -122,7 +125,7 @@ def latent_levels(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     if not m:
         return rows.select(F.col("key").alias(key), F.lit(0.0).alias("t"))
     p: np.ndarray | None = None
-    for _ in range(PASSES):
+    for turn in itertools.count(1):
         sent = spark.sparkContext.broadcast(p)
 
         def tally(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -134,20 +137,26 @@ def latent_levels(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
                     x[j, k] += c
                     n[j] += c.sum()
                     docs[j] += 1
-            at = np.flatnonzero(docs)
-            yield pd.DataFrame({"g": at, "x": list(x[at]), "n": n[at], "docs": docs[at]}, columns=["g", "x", "n", "docs"])
-
-        # one row per grid point and partition; the sums stay in the executors
-        parts = rows.select("i", "n", "size").mapInPandas(tally, "g int, x array<double>, n double, docs double")
-        flat = parts.select("g", "n", "docs", F.posexplode("x").alias("w", "c")).groupBy("g", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-        x, n, docs_at = np.zeros((len(GRID), m)), np.zeros(len(GRID)), np.zeros(len(GRID))
-        got = flat.toPandas()
-        x[got["g"], got["w"]] = got["c"]
-        n[got["g"]], docs_at[got["g"]] = got["n"], got["docs"]
+            # counts that aren't 0; words on, behind the last word the lengths and the documents
+            all_ = np.concatenate([x, n[:, None], docs[:, None]], 1)
+            g, w = np.nonzero(all_)
+            yield pd.DataFrame({"g": g.astype(np.int32), "w": w.astype(np.int32), "c": all_[g, w]})
+
+        # summed before the shuffle and after it; what comes to the driver is bounded by the grid and the vocabulary
+        got = rows.select("i", "n", "size").mapInPandas(tally, "g int, w int, c double").groupBy("g", "w").agg(F.sum("c").alias("c")).toPandas()
+        all_ = np.zeros((len(GRID), m + 2))
+        all_[got["g"], got["w"]] = got["c"]
+        x, n, docs_at = all_[:, :m], all_[:, m], all_[:, m + 1]
         if p is None:
             p = np.zeros((m, 3))
             p[:, 0] = -np.log(np.maximum(x.sum(0), 0.5) / max(n.sum(), 1))
-        p = _fit_words(p, x, n, docs_at)
+        fitted = _fit_words(p, x, n, docs_at)
+        # steps are halved from `PASSES` on, so the estimates come to rest in any case
+        p, before = p + 0.5 ** max(0, turn - PASSES) * (fitted - p), p
+        moved = float(np.sqrt((n[:, None] * (_curve(p, GRID) - _curve(before, GRID)).T ** 2).sum() / max(n.sum() * m, 1)))
+        log.info("reading levels, pass %d: log rates moved by %.3g", turn, moved)
+        if turn > 1 and moved <= TOLERANCE:
+            break
     final = spark.sparkContext.broadcast(p)
 
     def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
