@@ -54,7 +54,9 @@ def canonical_map(records: DataFrame) -> DataFrame:
     keyed = records.select("id", work_text("title").alias("t"), work_text(primary_author("authors")).alias("a"))
     known = (F.col("t") != "") & (F.col("a") != "")
     least = keyed.where(known).groupBy("t", "a").agg(F.min("id").alias("canonical_id"))
-    return keyed.withColumn("known", known).join(least, ["t", "a"], "left").select("id", F.when(F.col("known"), F.col("canonical_id")).otherwise(F.col("id")).alias("canonical_id")).distinct()
+    # records without a key take no part in the join, where they would all be one key
+    alone = keyed.where(~known).select("id", F.col("id").alias("canonical_id"))
+    return keyed.where(known).join(least, ["t", "a"]).select("id", "canonical_id").union(alone).distinct()
 
 
 def catalog(records: DataFrame, policy: Policy | None = None, order: str | None = None) -> tuple[DataFrame, DataFrame]:

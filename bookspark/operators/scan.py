@@ -1,4 +1,4 @@
-"""Running sums over ordered keys without one task per key."""
+"""Running sums and maxima over ordered keys without one task per key."""
 
 from __future__ import annotations
 
@@ -24,3 +24,19 @@ def running_sum(df: DataFrame, key: str, position: str, flag: Column, out: str,
     totals = rows.groupBy(F.col(key).alias("_k"), F.col("_block").alias("_b")).agg(F.sum("_flag").alias("_all")).select("_k", "_b", before.alias("_before"))
     joined = rows.withColumn("_inside", inside).join(totals, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")))
     return joined.withColumn(out, F.col("_inside") + F.col("_before")).drop("_block", "_flag", "_inside", "_k", "_b", "_before")
+
+
+def running_max(df: DataFrame, keys: list[str], position: str, value: Column, out: str, block: int = BLOCK) -> DataFrame:
+    """`df` with `out`: the largest `value` of the rows of the same keys up to this one; null if all are null. In blocks, as `running_sum`.
+
+    Null keys are keys like others.
+    """
+    named = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select("*", F.floor(F.coalesce(F.col(position), F.lit(-1)) / block).alias("_block"), value.alias("_value"))
+    inside = F.max("_value").over(Window.partitionBy(*keys, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0))
+    before = F.max("_all").over(Window.partitionBy(*named).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    tops = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named)], F.col("_block").alias("_b")).agg(F.max("_value").alias("_all")).select(*named, "_b", before.alias("_before"))
+    same = F.col("_block") == F.col("_b")
+    for k, n in zip(keys, named):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return rows.withColumn("_inside", inside).join(tops, same).withColumn(out, F.greatest("_inside", "_before")).drop("_block", "_value", "_inside", *named, "_b", "_before")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from bookspark.functions.text import OPENING_CANDIDATES, est_words, opening_line, read_time, section_path, single_line, words_to_search
-from bookspark.operators.scan import running_sum
+from bookspark.operators.durable import cut
+from bookspark.operators.scan import running_max, running_sum
 
 DIVS = ["div1", "div2", "div3", "div4"]
 # Headings of front matter.
@@ -67,12 +67,11 @@ def rolled_up(sections: DataFrame, depth: int) -> DataFrame:
     if depth >= 4:
         return sections
     parts = F.split("section", " / ")
-    rows = sections.withColumn("parts", parts)
-    owner = F.lit(None).cast("bigint")
+    # kept, as each depth reads them twice
+    rows = cut(sections).withColumn("parts", parts)
     for k in range(1, depth + 1):
         rows = rows.withColumn(f"p{k}", F.array_join(F.slice("parts", 1, k), " / "))
-        near = Window.partitionBy("book_id", f"p{k}").orderBy("section_number").rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn(f"o{k}", F.max(F.when(F.col("depth") == k, F.col("section_number"))).over(near))
+        rows = running_max(rows, ["book_id", f"p{k}"], "section_number", F.when(F.col("depth") == k, F.col("section_number")), f"o{k}")
     owner = F.when(F.col("depth") <= depth, F.col("section_number")).otherwise(F.greatest(*[F.col(f"o{k}") for k in range(1, depth + 1)]) if depth > 1 else F.col("o1") if depth else F.lit(None))
     owned = rows.withColumn("owner", owner).where("owner is not null")
     own = F.col("owner") == F.col("section_number")

@@ -13,7 +13,7 @@ from bookspark.operators import fulltext as T
 from bookspark.operators import sections as S
 from bookspark.operators import store as R
 from bookspark.operators.ingest import ingest
-from bookspark.operators.scan import running_sum
+from bookspark.operators.scan import running_max, running_sum
 from bookspark.plans import payload
 from bookspark.sources import pages as P
 
@@ -97,6 +97,15 @@ def book_chunks(spark):
     return spark.createDataFrame(rows, "id bigint, book_id bigint, position int, kind string, content string, char_count int, div1 string, div2 string, div3 string, div4 string").cache()
 
 
+def test_running_max_over_blocks(spark):
+    rows = [(k, p, (p * 7919) % 13 if p % 3 else None) for k in ("a", None) for p in range(30)]
+    df = spark.createDataFrame(rows, "k string, p int, v int")
+    got = {(r.k, r.p): r.m for r in running_max(df, ["k"], "p", F.col("v"), "m", block=4).collect()}
+    for k in ("a", None):
+        for p in range(30):
+            assert got[k, p] == max((v for kk, q, v in rows if kk == k and q <= p and v is not None), default=None)
+
+
 def test_sections(book_chunks):
     got = {(r.book_id, r.section_number): r for r in S.section_rows(book_chunks).collect()}
     assert [(k, got[k].section, got[k].paras, got[k].chars, got[k].est_read) for k in sorted(got)] == [((1, 1), "BOOK I", 2, 25, "1m"), ((1, 2), "BOOK I / Chapter 1", 1, 2600, "2m"), ((1, 3), "odd one", 0, 0, "n/a"), ((3, 1), "(untitled section)", 0, 0, "n/a")]
