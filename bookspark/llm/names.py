@@ -1,6 +1,6 @@
 """Variant spellings of names: which mean the same person or body.
 
-Each different name becomes a vector of the character trigrams of all its words, its initials and its life dates, weighted
+Each different name becomes a vector of the runs of four characters of all its words, its initials and its life dates, weighted
 by rarity. A sparse join finds every pair whose cosine is at least `COSINE`, as many partners as there are (or the `top`
 nearest). Average linkage over the cosines makes the groups, down to a mean of `LINKAGE`: a name that fits two persons goes
 to the nearer one and doesn't join the two. Rules only forbid: a pair that can't be read as one name (other given names,
@@ -24,7 +24,7 @@ from bookspark.operators.durable import cut
 from bookspark.operators.layout import spread
 from bookspark.operators.packed import split_packed
 
-COSINE, LINKAGE = 0.4, 0.3
+COSINE, LINKAGE, GRAM = 0.3, 0.22, 4
 # Familiar and shortened forms of given names (some of several), forms of address, words of bodies and their abbreviations.
 NICKNAMES = {
     "archie": "archibald", "gus": "augustus", "bert": "albert herbert robert", "al": "albert alexander", "alex": "alexander", "alec": "alexander", "sandy": "alexander", "annie": "anne", "nan": "anne", "nancy": "anne",
@@ -216,10 +216,10 @@ def same(a: str, b: str) -> bool:
 
 
 def grams(text: str) -> list[str]:
-    """Character trigrams of the name's words, from the mark before to the mark behind each, initials, and years."""
+    """Runs of `GRAM` characters of the name's words, from the mark before to the mark behind each, initials, and years."""
     n = name(text)
     words = set(n.words) if n.body else {w for s, g in n.readings for w in (*s.split(), *(full for x in g for full in full_names(x)))}
-    out = {p[i : i + 3] for w in words if len(w) > 1 for p in [f"#{w}#"] for i in range(len(p) - 2)}
+    out = {p[i : i + GRAM] for w in words if len(w) > 1 for p in [f"#{w}#"] for i in range(max(1, len(p) - GRAM + 1))}
     first = set() if n.body else {f".{w[0]}" for w in words}
     return sorted(out | first | {f"b{n.birth}", f"d{n.death}"} - {"b", "d"})
 
@@ -236,7 +236,7 @@ def similar_names(rows: DataFrame, top: int | None = None) -> DataFrame:
             yield b.loc[[same(x, y) for x, y in zip(b["x"], b["y"])], ["a", "b", "s"]]
 
     vectors = cut(spread(rows.select("id", "name")).mapInPandas(each, "id bigint, grams array<string>"))
-    near = cosine_join(vectors, COSINE, top).withColumnRenamed("cosine", "s")
+    near = cosine_join(vectors, COSINE, top, reach=0.6).withColumnRenamed("cosine", "s")
     named = merged(merged(near, rows.select(F.col("id").alias("a"), F.col("name").alias("x")), "a"), rows.select(F.col("id").alias("b"), F.col("name").alias("y")), "b")
     return named.select("a", "b", "s", "x", "y").mapInPandas(allowed, "a bigint, b bigint, s double")
 

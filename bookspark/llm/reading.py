@@ -28,7 +28,7 @@ from bookspark.operators.durable import cut
 from bookspark.operators.layout import spread
 
 log = logging.getLogger(__name__)
-SHARE, PASSES, TOLERANCE, RIDGE, PRIOR, BINS = 0.004, 9, 0.01, 5.0, 0.25, 4000
+SHARE, PASSES, TOLERANCE, RIDGE, PRIOR, BINS = 0.004, 6, 0.01, 5.0, 0.25, 4000
 GRID = np.linspace(-3, 3, 61)
 # Joining words of English, and the least share of them in an English text.
 JOINING = frozenset("the a an of and was it in by he she they we had that which to with not his her its were no from but who at for is as on be this have i you so".split())
@@ -94,32 +94,29 @@ def latent_levels(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     source = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
 
-    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n: Counter = Counter()
-            for t in b["text"]:
+            out = []
+            for k, t in zip(b["key"], b["text"]):
                 if w := _usable(t, least):
-                    n.update(set(w))
-                    n[""] += 1
-            yield pd.DataFrame({"word": list(n), "n": list(n.values())}, columns=["word", "n"])
-
-    counted = cut(source.select("text").mapInPandas(seen, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    total = next((r["n"] for r in counted.where("word = ''").collect()), 0)
-    vocabulary = sorted(r["word"] for r in counted.where((F.col("n") >= SHARE * total) & (F.col("n") < total) & (F.col("word") != "")).collect())
+                    n = Counter(w)
+                    out.append((k, " ".join(n), list(n.values()), sum(map(len, w)) / len(w)))
+            yield pd.DataFrame(out, columns=["key", "words", "n", "size"])
+
+    # each text is read once: its different words in one string, and how often each comes
+    kept = cut(source.mapInPandas(read, f"key {kind}, words string, n array<int>, size double"))
+    total = kept.count()
+    counted = kept.select(F.explode(F.split("words", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    vocabulary = sorted(r["word"] for r in counted.where((F.col("n") >= SHARE * total) & (F.col("n") < total)).collect())
     number = spark.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
 
     def matrix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = number.value
         for b in batches:
-            out = []
-            for k, t in zip(b["key"], b["text"]):
-                if w := _usable(t, least):
-                    n = Counter(ix[x] for x in w if x in ix)
-                    size = sum(len(x) for x in w) / len(w)
-                    out.append((k, list(n), list(n.values()), size))
-            yield pd.DataFrame(out, columns=["key", "i", "n", "size"])
+            found = [[(ix[x], c) for x, c in zip(w.split(" "), n) if x in ix] for w, n in zip(b["words"], b["n"])]
+            yield pd.DataFrame({"key": b["key"], "i": [[i for i, _ in f] for f in found], "n": [[c for _, c in f] for f in found], "size": b["size"]})
 
-    rows = cut(source.mapInPandas(matrix, f"key {kind}, i array<int>, n array<int>, size double"))
+    rows = cut(kept.mapInPandas(matrix, f"key {kind}, i array<int>, n array<int>, size double"))
     mean, sd = rows.agg(F.avg("size"), F.stddev_pop("size")).first()
     m = len(vocabulary)
     if not m:
