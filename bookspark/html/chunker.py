@@ -197,6 +197,10 @@ def _refined(d: Document, toc: list[Section], heads: list[Section]) -> list[Sect
     return sorted([*toc, *extra], key=lambda s: s.at)
 
 
+# Share of headings in one tag from which the tag says nothing of their depth.
+ONE_TAG = 0.8
+
+
 def _peers(sections: list[Section]) -> set[str]:
     """The one word of broad divisions that stands in the tag that nearly all headings have: it divides nothing from above."""
     ranks = Counter(s.rank for s in sections if s.rank < 7)
@@ -204,7 +208,7 @@ def _peers(sections: list[Section]) -> set[str]:
     if not ranks or len(words) != 1:
         return set()
     [(rank, n)] = ranks.most_common(1)
-    return {w for w, c in words.items() if len(sections) > 2 and n >= 0.8 * sum(ranks.values()) and c.most_common(1)[0][0] == rank}
+    return {w for w, c in words.items() if len(sections) > 2 and n >= ONE_TAG * sum(ranks.values()) and c.most_common(1)[0][0] == rank}
 
 
 def _nest(sections: list[Section], listed: bool) -> list[Section]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,6 @@ from pyspark.sql.window import Window
 
 from bookspark.functions.text import normal_segment
 
-CHUNKER_VERSION = 1
 DIVS = ["div1", "div2", "div3", "div4"]
 ORDER = ["position", "id"]
 
@@ -117,68 +115,86 @@ def remove(old: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 class Store:
-    """Books, texts and chunks as parquet under one folder, chunks in buckets of book ids. One writer at a time.
+    """Books, texts and chunks as parquet under one folder, each in buckets of book ids. One writer at a time.
 
-    A write makes a new version of each table beside the old one and then switches a pointer file, so readers see either
-    all of it or nothing.
+    A write puts only the buckets that it touches into a folder of a new version, then a manifest that names for each
+    bucket the version that holds it. Readers take the newest manifest, so they see either all of a write or nothing; files
+    are never changed. `buckets` is fixed by the first write: a few million chunks each are a good size.
     """
 
     TABLES = {"books": "id", "texts": "book_id", "chunks": "book_id"}
-    BUCKETS = 64
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _version(self) -> str | None:
+    def _manifest(self) -> dict:
+        """{number, buckets, tables: {name: {schema, parts: {bucket: version}}}} of the newest write."""
         fs, path = self._fs()
         found = [f.getPath().getName() for f in fs.listStatus(path(self.root))] if fs.exists(path(self.root)) else []
-        done = sorted(PurePosixPath(x).stem for x in found if x.endswith(".current"))
-        return done[-1] if done else None
-
-    def read(self, table: str) -> DataFrame | None:
-        v = self._version()
-        if not v:
+        done = sorted(x for x in found if x.endswith(".manifest"))
+        if not done:
+            return {"number": 0, "buckets": self.buckets, "tables": {}}
+        return json.loads(self.spark.read.text(f"{self.root}/{done[-1]}", wholetext=True).first()[0])
+
+    def _bucket(self, key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(n)).cast("int")
+
+    def read(self, table: str, only: set[int] | None = None) -> DataFrame | None:
+        """The table, or those of its buckets; null if it was never written."""
+        known = self._manifest()["tables"].get(table)
+        if known is None:
             return None
-        # the schema is kept beside the files: a table without rows has no files
-        schema = T.StructType.fromJson(json.loads(self.spark.read.text(f"{self.root}/{v}/{table}.schema", wholetext=True).first()[0]))
-        fs, path = self._fs()
-        if not fs.exists(path(f"{self.root}/{v}/{table}")):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.root}/{v}/{table}").drop("bucket")
-
-    def write(self, **tables: DataFrame) -> None:
-        """Replaces whole tables; those not given are kept."""
-        before = self._version()
-        n = int(before.split("-")[0]) + 1 if before else 0
-        version = f"{n:012d}-{uuid.uuid4().hex[:8]}"
-        for name, key in self.TABLES.items():
-            df = tables.get(name)
-            df = self.read(name) if df is None else df
-            if df is None:
-                continue
-            bucket = F.pmod(F.xxhash64(key), F.lit(self.BUCKETS)).cast("int")
-            df.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions(key, *(["position"] if name == "chunks" else [])).write.partitionBy("bucket").parquet(f"{self.root}/{version}/{name}")
-            fs, path = self._fs()
-            note = fs.create(path(f"{self.root}/{version}/{name}.schema"))
-            note.write(bytearray(df.schema.json().encode()))
-            note.close()
-        fs, path = self._fs()
-        fs.create(path(f"{self.root}/{version}.current")).close()
+        schema = T.StructType.fromJson(known["schema"])
+        paths = [f"{self.root}/{v}/{table}/bucket={b}" for b, v in sorted(known["parts"].items()) if only is None or int(b) in only]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _put(self, changed: dict[str, tuple[DataFrame, set[int] | None]]) -> None:
+        """Writes (rows, buckets that they replace; null: all) of the tables given and switches to them."""
+        before, fs, path = self._manifest(), *self._fs()
+        number, n, tables = before["number"] + 1, before["buckets"], dict(before["tables"])
+        version = f"{number:012d}-{uuid.uuid4().hex[:8]}"
+        for name, (df, touched) in changed.items():
+            key = self.TABLES[name]
+            # a book with very many chunks is written by several tasks
+            part = [F.floor(F.coalesce("position", F.lit(0)) / 65536)] if name == "chunks" else []
+            order = [key, *(["position"] if part else [])]
+            df.withColumn("bucket", self._bucket(key, n)).repartition("bucket", *part).sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(f"{self.root}/{version}/{name}")
+            made = {f.getPath().getName().partition("=")[2] for f in fs.listStatus(path(f"{self.root}/{version}/{name}")) if f.isDirectory()}
+            had = tables.get(name, {"parts": {}})["parts"] if touched is not None else {}
+            parts = {b: v for b, v in had.items() if int(b) not in touched} | dict.fromkeys(made, version)
+            tables[name] = {"schema": json.loads(df.schema.json()), "parts": parts}
+        note = fs.create(path(f"{self.root}/{version}.part"))
+        note.write(bytearray(json.dumps({"number": number, "buckets": n, "tables": tables}).encode()))
+        note.close()
+        fs.rename(path(f"{self.root}/{version}.part"), path(f"{self.root}/{version}.manifest"))
+
+    def _touched(self, ids: DataFrame, key: str, n: int) -> set[int]:
+        return {r["b"] for r in ids.select(self._bucket(key, n).alias("b")).distinct().collect()}
 
     def store(self, books: DataFrame, texts: DataFrame, chunks: DataFrame) -> None:
         """Upserts whole books: their record, text and chunks."""
-        new = {"books": books, "texts": texts, "chunks": chunks}
-        self.write(**{n: df if (old := self.read(n)) is None else upsert(old, df, self.TABLES[n]) for n, df in new.items()})
+        n, changed = self._manifest()["buckets"], {}
+        for name, df in {"books": books, "texts": texts, "chunks": chunks}.items():
+            touched = self._touched(df, self.TABLES[name], n)
+            old = self.read(name, touched)
+            changed[name] = (df if old is None else upsert(old, df, self.TABLES[name]), touched)
+        self._put(changed)
 
     def remove(self, ids: DataFrame) -> bool:
         """Whether any of the books was there."""
-        books = self.read("books")
+        n = self._manifest()["buckets"]
+        touched = self._touched(ids, "id", n)
+        books = self.read("books", touched)
         if books is None or books.join(ids.select("id"), "id", "left_semi").isEmpty():
             return False
-        self.write(**{n: remove(self.read(n), ids, k) for n, k in self.TABLES.items() if self.read(n) is not None})
+        self._put({name: (remove(old, ids, key), touched) for name, key in self.TABLES.items() if (old := self.read(name, touched)) is not None})
         return True
+
+    def write(self, **tables: DataFrame) -> None:
+        """Replaces whole tables; those not given are kept."""
+        self._put({name: (df, None) for name, df in tables.items()})

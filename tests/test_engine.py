@@ -225,6 +225,24 @@ def test_chunker_and_ingest(spark, tmp_path):
     assert store.read("chunks").count() == 0
 
 
+def test_store_writes_only_what_it_touches(spark, tmp_path):
+    store = R.Store(spark, str(tmp_path / "store"), buckets=8)
+    books = spark.createDataFrame([(i, f"T{i}") for i in range(40)], "id bigint, title string")
+    texts = books.select(F.col("id").alias("book_id"), F.col("title").alias("content"))
+    chunks = texts.withColumn("position", F.lit(0))
+    assert store.read("books") is None and not store.remove(books)
+    store.store(books, texts, chunks)
+    before = store._manifest()["tables"]
+    assert store.read("chunks").count() == 40 and len(before["chunks"]["parts"]) <= 8
+    store.store(books.where("id = 3").withColumn("title", F.lit("new")), texts.where("book_id = 3"), chunks.where("book_id = 3"))
+    after = store._manifest()["tables"]
+    assert sum(before["books"]["parts"][b] != v for b, v in after["books"]["parts"].items()) == 1
+    assert {r.title for r in store.read("books").where("id in (3, 4)").collect()} == {"new", "T4"} and store.read("books").count() == 40
+    assert store.remove(books.where("id = 3")) and store.read("texts").count() == 39
+    store.write(books=books.limit(0))
+    assert store.read("books").count() == 0 and store.read("texts").count() == 39
+
+
 def test_stream(spark, tmp_path):
     from bookspark.streaming.feed import FEED, deliveries_by_day, read_feed
 
