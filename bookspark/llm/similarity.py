@@ -58,7 +58,7 @@ def cosine_join(rows: DataFrame, threshold: float, top: int | None = None, power
     # the whole dot product of what is left
     arrays = cut(vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("v")))
     pairs = merged(merged(near, arrays.select(F.col("id").alias("a"), F.col("v").alias("va")), "a"), arrays.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    dot = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda s, g: s + F.coalesce(F.col("va")[g] * F.col("vb")[g], F.lit(0.0)))
+    dot = F.aggregate(F.array_intersect(F.map_keys("va"), F.map_keys("vb")), F.lit(0.0), lambda s, g: s + F.col("va")[g] * F.col("vb")[g])
     found = pairs.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
     if top is None:
         return found
