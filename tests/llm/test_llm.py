@@ -136,6 +136,24 @@ def test_near_duplicates_broadcast_nothing(spark):
     assert got == [("books", i, i % 3, 2) for i in range(9)]
 
 
+@pytest.mark.parametrize("words, threshold, common", [(True, 0.6, None), (False, 0.7, 0.03)])
+def test_no_pair_at_the_threshold_is_missed(spark, words, threshold, common):
+    random.seed(12)
+    rows = []
+    for i in range(0, 800, 2):
+        # texts: 45 shared of 75 runs; titles: 28 shared of 40
+        if words:
+            x = [f"w{random.randrange(10**9)}" for _ in range(77)]
+            rows += [(i, " ".join(x[:62])), (i + 1, " ".join(x[:47] + x[62:]))]
+        else:
+            x = "".join(random.choice("abcdefghijklmnoprstuvw") for _ in range(42))
+            rows += [(i, x[:36]), (i + 1, x[:30] + x[36:])]
+    rows += [(900, "ooo oo o"), (901, "ooo oo  ooo"), (902, "aaa"), (903, "aaaa"), (904, "x y z")]
+    df = spark.createDataFrame(rows, "id bigint, v string")
+    pairs, members = neardup.near_duplicates(df, "id", "v", threshold, words, common)
+    want = brute(rows, words, threshold)
+    assert len(want) >= 380 and sorted(tuple(r) for r in neardup.expand_pairs(pairs, members, "id").collect()) == sorted(want)
+
 # ---- p4
 def test_names():
     yes = [("Night, Samuel, 1801-1860", "Sam Night"), ("Night, Samuel John, 1801-1860", "S. J. Night"), ("NIGHT, Samuel", "samuel night"), ("Night, S. (Samuel), 1801-1860", "Sir Samuel Night"), ("Nightingale, Anne, 1801-1860", "Nightingaie, Anne, 1801-"), ("Guild of Salt Makers of Sotoza", "Sotoza. Guild of Salt Makers"), ("Inst. of Salt Makers of Sotoza", "Sotoza Institute of Salt Makers"), ("Bhd. of Salt Makers of Sotoza", "Sotoza Salt Makers' Brotherhood"), ("Mörike, Ida, b. 1820", "Morike, Ida, 1820?-1890")]
