@@ -6,6 +6,7 @@ import heapq
 import itertools
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from bookspark.operators.layout import wide
 
 #: A gram of more rows than this is joined in blocks of about so many rows.
 BLOCK = 1024
+#: Dot products are taken of so many rows with as many.
+ROWS = 256
 
 
 def merged(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
@@ -23,43 +26,93 @@ def merged(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "i
     return left.join(right.hint("shuffle_merge"), on, how)
 
 
-def cosine_join(rows: DataFrame, threshold: float, top: int | None = None, power: float = 1.0, reach: float = 0.4) -> DataFrame:
+def dots(one: list[tuple], other: list[tuple], threshold: float) -> list[tuple[int, int, float]]:
+    """(a, b, dot product), a < b, of at least `threshold`, of the rows (id, codes, weights) of `one` with those of `other`."""
+    cx, cy = (np.concatenate([r[1] for r in rows]) for rows in (one, other))
+    if one is other:
+        codes, n = np.unique(cx, return_counts=True)
+        codes = codes[n > 1]
+    else:
+        codes = np.intersect1d(cx, cy)
+    if not len(codes):
+        return []
+
+    def dense(rows: list[tuple], c: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
+        known = codes[at] == c
+        out = np.zeros((len(rows), len(codes)))
+        out[np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])[known], at[known]] = np.concatenate([r[2] for r in rows])[known]
+        return out
+
+    m = dense(one, cx)
+    found = m @ (m if one is other else dense(other, cy)).T
+    a, b = np.array([r[0] for r in one]), np.array([r[0] for r in other])
+    x, y = np.nonzero(found >= threshold - 1e-9)
+    keep = a[x] < b[y] if one is other else a[x] != b[y]
+    x, y = x[keep], y[keep]
+    return list(zip(np.minimum(a[x], b[y]).tolist(), np.maximum(a[x], b[y]).tolist(), found[x, y].tolist()))
+
+
+def cosine_join(rows: DataFrame, threshold: float, top: int | None = None, power: float = 1.0) -> DataFrame:
     """(a, b, cosine), a < b, of the rows whose weighted vectors have a cosine of at least `threshold`; exact and lossless.
 
     `rows`: (id: bigint, grams: array<string>), each id and each gram of a row once; a gram weighs log(1 + N / rows with
     it) to the `power`. Other columns don't matter. Rows with null or empty grams are in no pair, an empty table gives none. `top`: of
     each row only the pairs with the `top` nearest, ties by the smaller id of the other; a pair stays if either row keeps it. None keeps all.
 
-    The grams of all rows are in one order, from the rarest. The last ones of a row, while together shorter than `reach` *
-    `threshold` of its length, are not joined. Of two rows, the common grams that the join misses all lie in those last
-    ones of either row, so they add less than their length; pairs that can't reach the threshold even so are left, the
-    others get their whole dot product. Frequent grams are joined only for rows that have little else, and in blocks: the
-    rows of a gram are dealt to k blocks, and each two blocks meet once, in a task of their own.
+    The grams of all rows are in one order, from the rarest. The last ones of a row, while together shorter than
+    `threshold` of its length, are not joined. If the first common gram of two rows is one of those, so are all common grams
+    of that row, and the rows can't reach the threshold. Frequent grams are joined only for rows that have little else, and in
+    blocks: the rows of a gram are dealt to k blocks, and each two blocks meet once, in a cell of their own. Rows bring
+    their whole vectors to the cells, where the dot products are taken at once: only pairs that reach the threshold leave
+    a task, and what is shuffled grows with the rows of the cells, not with the pairs that meet there.
     """
     spark, n = rows.sparkSession, float(rows.count())
     flat = rows.select("id", F.explode("grams").alias("g"))
-    df = flat.groupBy("g").agg(F.count("*").alias("df"))
+    df = cut(flat.groupBy("g").agg(F.count("*").alias("df")).withColumn("code", F.monotonically_increasing_id()))
     weighted = merged(flat, df, "g").withColumn("w2", F.pow(F.log1p(F.lit(n) / F.col("df")), 2 * power))
     order, whole = Window.partitionBy("id").orderBy("df", "g"), Window.partitionBy("id")
     vectors = weighted.withColumn("rest", F.sum("w2").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))).withColumn("all", F.sum("w2").over(whole))
-    vectors = cut(vectors.select("id", "g", "df", "rest", "all", (F.sqrt("w2") / F.sqrt("all")).alias("w")))
+    vectors = cut(vectors.select("id", "code", "df", "rest", "all", (F.sqrt("w2") / F.sqrt("all")).alias("w")))
+    # grams of one row are in its length, but in no dot product
+    arrays = vectors.where("df > 1").groupBy("id").agg(F.collect_list(F.struct("code", "w")).alias("v")).select("id", F.col("v.code").alias("codes"), F.col("v.w").alias("w"))
 
     # each row of a gram goes to the pairs of blocks that its block is in; a number of partitions of its own, as few rows make many pairs
-    heads = vectors.where(F.col("rest") >= (reach * threshold) ** 2 * F.col("all")).withColumn("k", F.ceil(F.col("df") / BLOCK).cast("int"))
+    heads = vectors.where((F.col("df") > 1) & (F.col("rest") >= (threshold - 1e-9) ** 2 * F.col("all"))).withColumn("k", F.ceil(F.col("df") / BLOCK).cast("int"))
     heads = heads.withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.least("own", o) * F.col("k") + F.greatest("own", o))
-    cells = heads.select("id", "g", "w", "own", "k", F.explode(meets).alias("cell")).repartition(wide(spark), "g", "cell")
-    one, other = cells.toDF("a", "g", "wa", "oa", "k", "cell"), cells.toDF("b", "g", "wb", "ob", "_", "cell")
-    # in the cell of two different blocks, rows of one block don't meet again
-    apart = (F.col("oa") != F.col("ob")) | (F.col("cell") == F.col("oa") * F.col("k") + F.col("oa"))
-    met = merged(one, other, ["g", "cell"]).where((F.col("a") < F.col("b")) & apart).select("a", "b", (F.col("wa") * F.col("wb")).alias("w"))
-    near = met.groupBy("a", "b").agg(F.sum("w").alias("part")).where(F.col("part") >= (1 - reach) * threshold - 1e-9).select("a", "b")
-
-    # the whole dot product of what is left
-    arrays = cut(vectors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("v")))
-    pairs = merged(merged(near, arrays.select(F.col("id").alias("a"), F.col("v").alias("va")), "a"), arrays.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    dot = F.aggregate(F.array_intersect(F.map_keys("va"), F.map_keys("vb")), F.lit(0.0), lambda s, g: s + F.col("va")[g] * F.col("vb")[g])
-    found = pairs.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= threshold - 1e-9)
+    cells = merged(heads.select("id", "code", "k", "own"), arrays, "id").select("id", "code", "own", F.explode(meets).alias("cell"), (F.col("own") * (F.col("k") + 1)).alias("alone"), "codes", "w")
+    cells = cells.repartition(wide(spark), "code", "cell").sortWithinPartitions("code", "cell", "own")
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def answer(held: list[list[tuple]]) -> pd.DataFrame:
+            # rows of one block, or of several small cells, meet each other; those of two blocks only the other's
+            parts = [[rows[i : i + ROWS] for i in range(0, len(rows), ROWS)] for rows in held]
+            pairs = itertools.combinations_with_replacement(parts[0], 2) if len(parts) == 1 else itertools.product(*parts)
+            found = {(a, b): s for x, y in pairs for a, b, s in dots(x, y, threshold)}
+            return pd.DataFrame([(a, b, s) for (a, b), s in found.items()], columns=["a", "b", "cosine"])
+
+        at, pool, blocks = None, [], {}
+        for batch in batches:
+            for i, code, own, cell, alone, codes, w in zip(*(batch[c] for c in ("id", "code", "own", "cell", "alone", "codes", "w"))):
+                if (code, cell) != at:
+                    if len(blocks) == 2:
+                        yield answer(list(blocks.values()))
+                    if len(pool) >= ROWS // 2:
+                        yield answer([pool])
+                        pool = []
+                    at, blocks = (code, cell), {}
+                if cell == alone:
+                    pool.append((i, codes, w))
+                else:
+                    blocks.setdefault(own, []).append((i, codes, w))
+        if len(blocks) == 2:
+            yield answer(list(blocks.values()))
+        if pool:
+            yield answer([pool])
+
+    # a pair that shares several grams meets as often; its sums differ at most in their last bits
+    found = cells.mapInPandas(each, "a bigint, b bigint, cosine double").groupBy("a", "b").agg(F.min("cosine").alias("cosine"))
     if top is None:
         return found
     found = cut(found)

@@ -202,7 +202,7 @@ def alike_titles(forms: DataFrame) -> DataFrame:
             yield pd.DataFrame([r for r in found if r[2]], columns=["s", "t", "sure", "known"])
 
     wide = spread(forms.select("form", "title"))
-    near = cosine_join(cut(wide.mapInPandas(each, "id bigint, grams array<string>")), COSINE, power=2.0, reach=0.8).select(F.col("a").alias("s"), F.col("b").alias("t"))
+    near = cosine_join(cut(wide.mapInPandas(each, "id bigint, grams array<string>")), COSINE, power=2.0).select(F.col("a").alias("s"), F.col("b").alias("t"))
     # a main title alone is enough on one side only: those of two long titles needn't meet here
     keys = cut(wide.mapInPandas(short, "id bigint, k string, whole boolean"))
     met = merged(keys.where("whole").select(F.col("id").alias("x"), "k"), keys.select(F.col("id").alias("y"), "k"), "k").where("x <> y")

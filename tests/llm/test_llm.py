@@ -253,6 +253,14 @@ def test_cosine_join_by_brute_force(spark, monkeypatch):
     assert similarity.cosine_join(frame.limit(0), 0.5).count() == 0
 
 
+def test_cosine_join_shuffles_no_pairs_below_the_threshold(spark):
+    n, disk = 600, lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    # all pairs meet on a gram that each row has little else than, and none reaches the threshold
+    rows = spark.createDataFrame([(i, ["hot", f"own{i}"]) for i in range(n)] + [(n, ["hot", "own3"])], "id bigint, grams array<string>")
+    before = disk()
+    assert [(r.a, r.b) for r in similarity.cosine_join(rows, 0.3, power=0.5).collect()] == [(3, n)]
+    assert disk() - before < n * n / 2
+
 def test_large_components_are_clustered_as_small_ones(spark):
     random.seed(9)
     edges = [(a, b, random.choice([0.6, 0.7, 0.8, 0.9]) + random.random() / 100) for a in range(40) for b in range(a + 1, 40) if random.random() < 0.15]
