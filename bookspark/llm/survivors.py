@@ -147,17 +147,31 @@ def _title_grams(title: str | None) -> list[str]:
     return sorted(words | {f"{w[:5]}-" for w in words if len(w) > 4} | {f"-{w[-5:]}" for w in words if len(w) > 4})
 
 
-def _title_keys(title: str | None) -> dict[str, bool]:
-    """Keys, and whether they are of the whole title, of a title, or main title, of one or two words, and of one that begins with three short words.
+def _title_keys(title: str | None) -> dict[str, tuple[bool, bool]]:
+    """Keys, each with whether it is of the whole title and whether it looks for others, of a title, or main title, of one or two words, or that begins with three short ones.
 
-    Two such titles that agree word by word have a key in common: each word is cut to its first letters, and as many of them
-    are left out as may be wrong.
+    Two such titles that agree have a key in common, which is of a whole title on one side and looks for others on one side.
+    Words that agree share some of their first letters, as many left out as may be wrong. Beginnings that very many titles
+    have ("The Salt Road of ...") are looked for only by titles of three words: longer ones must share their fourth word
+    (or its beginning, where the title ends with it) or, if a space has moved, their first sixteen letters.
     """
-    keys: dict[str, bool] = {}
+    keys: dict[str, tuple[bool, bool]] = {}
     for words, whole in ((main_title(title), False), (title_parts(title)[0], True)):
-        if len(words) < 3 or max(map(len, words[:3])) <= 4:
-            parts = [deletions(w, 0 if len(w) < 3 else 1 if len(w) < 7 else 2, 6) for w in words[:3]]
-            keys |= {" ".join(k): whole for k in itertools.product(*parts) if words}
+        if not words or len(words) > 2 and max(map(len, words[:3])) > 4:
+            continue
+        cut_short = lambda w, head: deletions(w, 0 if len(w) < 3 else 1 if len(w) < 7 else 2, head)
+        parts = [cut_short(w, 12 if len(words) == 1 else 8) for w in words[:3]]
+        heads, n = [" ".join(k) for k in itertools.product(*parts)], len(words)
+        keys |= {h: (whole, n < 4) for h in heads}
+        if n < 4:
+            continue
+        w = words[3]
+        same = {f"{h}={d}" for h in (heads if len(w) < 6 else ()) for d in cut_short(w, 12)} | {f"{h}:{d}" for h in (parts[0] if len(w) > 4 else ()) for d in cut_short(w, 12)}
+        keys |= dict.fromkeys(same | {f"~{d}" for d in deletions("".join(words), 2, 16)}, (whole, True))
+        ends = {f"{h}>{w[:i]}": i == len(w) for h in heads for i in range(1, min(len(w), 4) + 1)} | {f"{h}>>{d}": True for h in (parts[0] if len(w) > 4 else ()) for d in deletions(w, 1, 5)}
+        for k, end in ends.items():
+            of, looks = keys.get(k, (False, False))
+            keys[k] = (of or whole, looks or end and n == 4)
     return keys
 
 
@@ -194,7 +208,9 @@ def alike_titles(forms: DataFrame) -> DataFrame:
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(i, k, whole) for i, t in zip(b["form"], b["title"]) for k, whole in _title_keys(t).items()], columns=["id", "k", "whole"])
+            found = ((i, k, *of) for i, t in zip(b["form"], b["title"]) for k, of in _title_keys(t).items())
+            while some := list(itertools.islice(found, 100_000)):
+                yield pd.DataFrame(some, columns=["id", "k", "whole", "looks"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -203,9 +219,10 @@ def alike_titles(forms: DataFrame) -> DataFrame:
 
     wide = spread(forms.select("form", "title"))
     near = cosine_join(cut(wide.mapInPandas(each, "id bigint, grams array<string>")), COSINE, power=2.0).select(F.col("a").alias("s"), F.col("b").alias("t"))
-    # a main title alone is enough on one side only: those of two long titles needn't meet here
-    keys = cut(wide.mapInPandas(short, "id bigint, k string, whole boolean"))
-    met = merged(keys.where("whole").select(F.col("id").alias("x"), "k"), keys.select(F.col("id").alias("y"), "k"), "k").where("x <> y")
+    # a main title alone is enough on one side only: those of two long titles needn't meet here; two hashes that meet by chance make a pair more to be scored
+    keys = cut(wide.mapInPandas(short, "id bigint, k string, whole boolean, looks boolean").withColumn("k", F.xxhash64("k")))
+    x, y = keys.where("looks").toDF("x", "k", "whole", "looks"), keys.toDF("y", "k", "other", "looked")
+    met = merged(x, y, "k").where("x <> y and (whole or other)")
     pairs = near.union(met.select(F.least("x", "y"), F.greatest("x", "y"))).distinct()
     one, other = forms.select("form", "title", "words").toDF("s", "x", "wx"), forms.select("form", "title", "words").toDF("t", "y", "wy")
     titled = merged(merged(pairs, one, "s"), other, "t").where(~_far(F.col("wx"), F.col("wy")))

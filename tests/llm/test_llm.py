@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from collections import Counter
@@ -282,6 +283,38 @@ def test_titles_and_dates():
     assert {k: survivors.read_date(k) for k in dates} == dates
 
 
+def test_titles_of_one_stock_beginning_meet_where_they_agree_alone():
+    random.seed(14)
+    word = lambda n: "".join(random.choice("bdfgklmnrstvz") + random.choice("aeiou") for _ in range(n))
+
+    kept = {}
+
+    def meet(x, y):
+        x, y = (kept[t] if t in kept else kept.setdefault(t, survivors._title_keys(t)) for t in (x, y))
+        return any((x[k][0] or y[k][0]) and (x[k][1] or y[k][1]) for k in x.keys() & y.keys())
+
+    def typo(w):
+        j = random.randrange(len(w) - 1)
+        return random.choice([w[:j] + w[j + 1 :], w[:j] + "x" + w[j:], w[:j] + "x" + w[j + 1 :], w[:j] + w[j + 1] + w[j] + w[j + 2 :]])
+
+    def coarse(title):
+        words = survivors.title_parts(title)[0]
+        return {" ".join(k) for k in itertools.product(*[names.deletions(w, 0 if len(w) < 3 else 1 if len(w) < 7 else 2, 6) for w in words[:3]])} if len(words) < 3 or max(map(len, words[:3])) <= 4 else set()
+
+    # before, all titles of one such beginning met, so work grew with their square
+    salt = [f"The Salt Road of {word(5)} and {word(5)}" for _ in range(60)] + [word(5) for _ in range(60)]
+    assert sum(meet(x, y) for i, x in enumerate(salt) for y in salt[:i]) < len(salt) < sum(bool(coarse(x) & coarse(y)) for i, x in enumerate(salt) for y in salt[:i])
+    tried = 0
+    for _ in range(600):
+        x = random.choice(["", "The ", "Salt Road of ", "The Old Man in "]) + " ".join(word(random.randint(2, 6)) for _ in range(random.randint(1, 3)))
+        y = " ".join(typo(w) if len(w) > 2 and random.random() < 0.4 else w for w in x.split())
+        y = random.choice([y, y[: random.randint(len(y) // 2, len(y))], y[: random.randint(len(y) // 2, len(y))] + "...", y + ": A Tale", y.replace(" of ", " o f", 1), y[:-3] + " " + y[-3:]])
+        if survivors._title_score(x, y)[0] and coarse(x) & coarse(y):
+            tried += 1
+            assert meet(x, y), (x, y)
+    assert tried > 100
+
+
 def test_short_titles(spark):
     a = "Nightwood, Samuel, 1801-1860"
     pairs = [("Emma", "Emma: A Novel"), ("Moby Dick", "Moby Dick; or, The Whale"), ("The Sea", "The Soa"), ("Kim", "KIM"), ("紅樓夢", "紅樓夢 (一)"), ("Enna", "Enma"), ("The Old Man", "The Old Men")]
