@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -339,16 +340,14 @@ def render(r: Reading, dropped: frozenset[str]) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
 
 
-def clean_records(df: DataFrame, key: str, text: str, group: str | None = None) -> DataFrame:
-    """(`group`,) `key`, n_markup, clean of every row: the number of signs of markup, and the text without them.
+def plain(r: Reading, dropped: frozenset[str]) -> str:
+    """The text of the leaves on content paths as it is, without any notation of structure."""
+    return "".join(t for path, kind, t in r.leaves if kind not in ("item", "break") and (structure(path, kind) or "/".join(path) not in dropped))
 
-    A null text gives null and 0, a text without markup itself. Repeated rows come out repeated; extra columns don't matter.
-    """
-    spark = df.sparkSession
-    keys = ([group] if group else []) + [key]
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    rows = df.select(*keys, F.col(text).alias("text"))
-    marked = spread(rows.where(F.col("text").rlike(SIGNS)))
+
+def _judged(marked: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """`marked` (text: not null, others) with `bad`, the dropped paths of a row that aren't sent to all; and the verdicts on those that are."""
+    spark = marked.sparkSession
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -376,13 +375,23 @@ def clean_records(df: DataFrame, key: str, text: str, group: str | None = None)
         for b in batches:
             yield b.assign(paths=[sorted({p for path, kind, _ in Reading(t).leaves if not structure(path, kind) and (p := "/".join(path)) not in hot.value}) for t in b["text"]])
 
-    if more:
-        fields = ", ".join(filter(None, [schema, "text string"]))
-        read = cut(marked.mapInPandas(rare, f"{fields}, paths array<string>").withColumn("row", F.monotonically_increasing_id()))
-        bad = read.select("row", F.explode("paths").alias("path")).join(scored.where((F.col("path") != "") & (F.col("score") < THRESHOLD)).select("path"), "path")
-        marked = read.drop("paths").join(bad.groupBy("row").agg(F.collect_list("path").alias("bad")), "row", "left").drop("row")
-    else:
-        marked = marked.withColumn("bad", F.lit(None).cast("array<string>"))
+    if not more:
+        return marked.withColumn("bad", F.lit(None).cast("array<string>")), hot
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in marked.schema)
+    read = cut(marked.mapInPandas(rare, f"{fields}, paths array<string>").withColumn("row", F.monotonically_increasing_id()))
+    bad = read.select("row", F.explode("paths").alias("path")).join(scored.where((F.col("path") != "") & (F.col("score") < THRESHOLD)).select("path"), "path")
+    return read.drop("paths").join(bad.groupBy("row").agg(F.collect_list("path").alias("bad")), "row", "left").drop("row"), hot
+
+
+def clean_records(df: DataFrame, key: str, text: str, group: str | None = None) -> DataFrame:
+    """(`group`,) `key`, n_markup, clean of every row: the number of signs of markup, and the text without them.
+
+    A null text gives null and 0, a text without markup itself. Repeated rows come out repeated; extra columns don't matter.
+    """
+    keys = ([group] if group else []) + [key]
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    rows = df.select(*keys, F.col(text).alias("text"))
+    marked, hot = _judged(spread(rows.where(F.col("text").rlike(SIGNS))))
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         dropped = frozenset(p for p, x in hot.value.items() if x)
@@ -409,15 +418,17 @@ def clean_corpus(texts: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def marked_records(texts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(tbl, rec_id) of the records that hold markup: those in which a reading finds a sign.
+    """(tbl, rec_id) of the records that hold markup: those that differ from their text on content paths, notation left out.
 
-    The scores of paths tell what is content, not whether a sign is there (`a <i>b</i>` has no path, a heading stays as it
-    is), so they have no part in this and aren't computed.
+    Paths are scored over all records of both tables, as in `clean_corpus`. Every sign takes something out of the text, so
+    a record in which a sign is read differs whatever the scores are.
     """
-    rows = _both(texts, chunks)
+    rows = _both(texts, chunks).withColumnRenamed("content", "text")
+    marked, hot = _judged(spread(rows.where(F.col("text").rlike(SIGNS))))
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dropped = frozenset(p for p, x in hot.value.items() if x)
         for b in batches:
-            yield b.loc[[Reading(t).signs > 0 for t in b["content"]], ["tbl", "rec_id"]]
+            yield b.loc[[plain(Reading(t), dropped if bad is None else dropped | set(bad)) != t for t, bad in zip(b["text"], b["bad"])], ["tbl", "rec_id"]]
 
-    return spread(rows.where(F.col("content").rlike(SIGNS))).mapInPandas(found, f"tbl string, rec_id {rows.schema['rec_id'].dataType.simpleString()}")
+    return marked.mapInPandas(found, f"tbl string, rec_id {rows.schema['rec_id'].dataType.simpleString()}")

@@ -423,6 +423,22 @@ def test_marked_records_need_no_path_scores(spark, monkeypatch):
     assert got == sorted((t, i) for t in ("texts", "chunks") for i in (1, 2, 6, 6))
 
 
+def test_marked_records_differ_from_their_text_on_content_paths(spark, monkeypatch):
+    signs = test_markup_is_found.pytestmark[0].args[1]
+    none = test_signs_of_print_are_not.pytestmark[0].args[1]
+    assert [t for t in signs if markup.plain(markup.Reading(t), frozenset()) == t] == [] == [t for t in none if markup.plain(markup.Reading(t), frozenset()) != t]
+    page = markup.Reading("<style>x, y</style><p>a b</p><ul><li>c</li></ul>")
+    assert markup.plain(page, frozenset(["style"])) == "a bc" and markup.plain(page, frozenset()) == "x, ya bc"
+    asked, scores = [], markup.scores
+    monkeypatch.setattr(markup, "scores", lambda sums: asked.append(sums) or scores(sums))
+    texts = spark.createDataFrame(list(enumerate(signs + none)), "book_id bigint, content string")
+    for paths in (1 << 16, 0):
+        monkeypatch.setattr(markup, "PATHS", paths)
+        got = sorted(r.rec_id for r in markup.marked_records(texts, texts.limit(0).withColumnRenamed("book_id", "id")).collect())
+        assert got == list(range(len(signs)))
+    assert len(asked) == 2
+
+
 # ---- p8
 def test_reading_levels(spark):
     random.seed(9)
